@@ -3,9 +3,8 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, quality_rules
+from docframe.llm import exact_dedup, jaccard_join, quality_rules
 from docframe.llm.common import table
 
 
@@ -26,8 +25,13 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}

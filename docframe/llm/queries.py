@@ -3,11 +3,36 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, jaccard_join, quality_rules
+from docframe.llm import exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules
 from docframe.llm.common import table
 
 
+def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """docs with host and path: of the page whose address ends in the document's id, else the source and the language.
+    Of several pages the smallest page_id counts."""
+    address = F.col("url")
+    host = F.regexp_extract(address, r"^\w+://([^/?#]*)", 1)
+    path = F.concat(F.lit("/"), F.regexp_extract(address, r"^\w+://[^/?#]*/([^/?#]*)/", 1))
+    key = F.regexp_extract(address, r"/(\d{1,18})(?:\.html?|/)?(?:[?#].*)?$", 1)
+    known = pages.select(F.when(key != "", key.cast("long")).alias("doc_key"), "page_id", host.alias("host"), path.alias("path")).where("doc_key is not null")
+    one = known.groupBy("doc_key").agg(F.min_by(F.struct("host", "path"), "page_id").alias("site"))
+    joined = docs.join(one, docs["doc_id"] == one["doc_key"], "left")
+    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("site.host", docs["source"]).alias("host"), F.coalesce("site.path", docs["lang"]).alias("path"))
+
+
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
+    return quality_classifier.judge(with_sites(docs, table(spark, sf_dir, "pages").select("page_id", "url")), labels)
+
+
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), mixing.domain_of(F.col("quality"), F.col("toxic")).alias("label"))
+    return mixing.rates(table(spark, sf_dir, "documents"), labels)
+
+
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     slim = exact_dedup.exact_groups(docs.select("doc_id", "text"), keep="largest")
@@ -30,6 +55,8 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_quality_classifier": op1_quality_classifier,
+    "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op9_jaccard_join": op9_jaccard_join,

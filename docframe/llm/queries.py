@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, jaccard_join, mixing, quality_classifier, quality_rules
+from docframe.llm import exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules
 from docframe.llm.common import table
 
 
@@ -16,10 +16,13 @@ def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
     host = F.regexp_extract(address, r"^\w+://([^/?#]*)", 1)
     path = F.concat(F.lit("/"), F.regexp_extract(address, r"^\w+://[^/?#]*/([^/?#]*)/", 1))
     key = F.regexp_extract(address, r"/(\d{1,18})(?:\.html?|/)?(?:[?#].*)?$", 1)
-    known = pages.select(F.when(key != "", key.cast("long")).alias("doc_key"), "page_id", host.alias("host"), path.alias("path")).where("doc_key is not null")
-    one = known.groupBy("doc_key").agg(F.min_by(F.struct("host", "path"), "page_id").alias("site"))
+    markup = F.col("markup") if "markup" in pages.columns else F.lit(None).cast("string")
+    known = pages.select(F.when(key != "", key.cast("long")).alias("doc_key"), "page_id", host.alias("host"), path.alias("path"), markup.alias("markup")).where("doc_key is not null")
+    one = known.groupBy("doc_key").agg(F.min_by(F.struct("host", "path", "markup"), "page_id").alias("site"))
     joined = docs.join(one, docs["doc_id"] == one["doc_key"], "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.coalesce("site.host", docs["source"]).alias("host"), F.coalesce("site.path", docs["lang"]).alias("path"))
+    return joined.select(
+        *[docs[c] for c in ("doc_id", "text", "lang", "source")], F.coalesce("site.host", docs["source"]).alias("host"), F.coalesce("site.path", docs["lang"]).alias("path"), F.col("site.markup").alias("markup")
+    )
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -50,6 +53,19 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
+def with_address(docs: DataFrame, pages: DataFrame) -> DataFrame:
+    """docs with declared, suffix and host: the page's markup language, or else the row's own lang; the last part of the
+    host's name, and the host, or else the source."""
+    markup = F.regexp_extract("html", r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    sited = with_sites(docs, pages.select("page_id", "url", F.when(markup != "", markup).alias("markup")))
+    suffix = F.when(F.col("host").contains("."), F.regexp_extract("host", r"\.([A-Za-z]+)(?::\d+)?$", 1)).otherwise(F.lit(""))
+    return sited.withColumn("declared", F.coalesce("markup", "lang")).withColumn("suffix", suffix)
+
+
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(with_address(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -59,6 +75,7 @@ QUERIES = {
     "op2_mixing": op2_mixing,
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
+    "op5_language_id": op5_language_id,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}

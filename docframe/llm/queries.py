@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, jaccard_join, language_id, mixing, quality_classifier, quality_rules
+from docframe.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules
 from docframe.llm.common import table
 
 
@@ -66,6 +66,14 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(with_address(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")))
 
 
+def digest(pieces: DataFrame) -> DataFrame:
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(packing.pack(table(spark, sf_dir, "documents")))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -76,6 +84,7 @@ QUERIES = {
     "op3_exact_dedup": op3_exact_dedup,
     "op4_quality_rules": op4_quality_rules,
     "op5_language_id": op5_language_id,
+    "op6_packing": op6_packing,
     "op9_jaccard_join": op9_jaccard_join,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}

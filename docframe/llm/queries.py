@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules
+from docframe.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, quality_classifier, quality_rules
 from docframe.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
 
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_quality_classifier": op1_quality_classifier,
     "op2_mixing": op2_mixing,
@@ -86,5 +90,6 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op9_jaccard_join": op9_jaccard_join,
+    "op10_html_extraction": op10_html_extraction,
 }
 ORACLES = {"op3_exact_dedup": OP3_SQL}

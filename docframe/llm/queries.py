@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docframe.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, quality_classifier, quality_rules
+from docframe.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
 from docframe.llm.common import table
 
 
@@ -78,6 +78,10 @@ def op7_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(table(spark, sf_dir, "documents"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats(table(spark, sf_dir, "documents"))
+
+
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_join.classes(table(spark, sf_dir, "documents"))
 
@@ -94,6 +98,7 @@ QUERIES = {
     "op5_language_id": op5_language_id,
     "op6_packing": op6_packing,
     "op7_pii": op7_pii,
+    "op8_substring_dedup": op8_substring_dedup,
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
 }

@@ -31,9 +31,12 @@ def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.judge(with_sites(docs, table(spark, sf_dir, "pages").select("page_id", "url")), labels)
 
 
+def domain_labels(labels: DataFrame) -> DataFrame:
+    return labels.select(F.col("doc_id").alias("id"), mixing.domain_of(F.col("quality"), F.col("toxic")).alias("label"))
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), mixing.domain_of(F.col("quality"), F.col("toxic")).alias("label"))
-    return mixing.rates(table(spark, sf_dir, "documents"), labels)
+    return mixing.rates(table(spark, sf_dir, "documents"), domain_labels(table(spark, sf_dir, "labels")))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

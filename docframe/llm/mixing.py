@@ -16,12 +16,12 @@ from docframe.llm.common import text_of, words_of, written
 class Mix:
     """targets: each domain's share of the tokens of the mixture; shares are scaled to add up to 1. size: tokens of the
     mixture as a share of the corpus's; None for the most that needs no domain more often than it is there. tolerance:
-    of the largest error of a domain's tokens, against the mixture's. most_rounds of gradient steps; after each `block`
-    of them the rates are written."""
+    of the largest error of a domain's tokens, against the mixture's; steps that change less than a hundredth of it end
+    the search too. most_rounds of gradient steps; after each `block` of them the rates are written."""
 
-    targets: dict[str, float] = field(default_factory=lambda: {"good": 0.965, "plain": 0.03, "toxic": 0.005})
+    targets: dict[str, float] = field(default_factory=lambda: {"good": 0.96, "plain": 0.03, "toxic": 0.01})
     size: float | None = None
-    tolerance: float = 1e-4
+    tolerance: float = 1e-3
     block: int = 8
     most_rounds: int = 80
     fit: textmodel.Fit = textmodel.Fit()
@@ -47,12 +47,12 @@ def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"))
     weights, priors, bare = textmodel.fitted(texts, labels, mix.fit)
     names = sorted(k for k in priors if mix.targets.get(k, 0) > 0) or ["all"]
-    keyed = texts.withColumn("h", F.xxhash64("text"))
-    seen = textmodel.evidence(keyed, weights, names)
-    tokens = keyed.select("id", "h", F.size(words_of(F.col("text"))).cast("double").alias("tokens"))
-    scored = tokens.join(seen.withColumnRenamed("id", "id_e").withColumnRenamed("h", "h_e"), F.col("id").eqNullSafe(F.col("id_e")) & (F.col("h") == F.col("h_e")))
+    tokens = F.size(words_of(F.col("text"))).cast("double")
+    seen = textmodel.evidence(texts.select("id", "text", F.xxhash64("text").alias("h"), tokens.alias("tokens")), weights, names)
+    # rows that were scored together are taken apart again
+    each = seen.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
     p = textmodel.posteriors(F.col("evidence"), [math.log(priors.get(k, 1.0)) + bare.get(k, 0.0) for k in names])
-    scored = scored.withColumn("p", p).select("id", "tokens", *[F.col("p")[i].alias(f"p{i}") for i in range(len(names))], F.lit(1.0).alias("rate"))
+    scored = each.withColumn("p", p).select("id", "tokens", *[F.col("p")[i].alias(f"p{i}") for i in range(len(names))], F.lit(1.0).alias("rate"))
     now = written(scored)
 
     def totals(rate: Column, frame: DataFrame) -> list[float]:
@@ -65,12 +65,14 @@ def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     share = {i: s / sum(share.values()) for i, s in share.items()}
     size = sum(whole) * mix.size if mix.size is not None else min((whole[i] / share[i] for i in used), default=0.0)
     target = {i: s * size for i, s in share.items()}
-    rate, step = F.col("rate"), 1.0
+    rate, step, last = F.col("rate"), 1.0, None
     for k in range(mix.most_rounds):
         got = totals(rate, now)
         error = {i: (got[i] - target[i]) / whole[i] for i in used}
-        if all(abs(got[i] - target[i]) <= mix.tolerance * size for i in used):
+        near = mix.tolerance * size
+        if all(abs(got[i] - target[i]) <= near for i in used) or (last and all(abs(got[i] - last[i]) <= near / 100 for i in used)):
             break
+        last = got
         rate = F.greatest(F.lit(0.0), rate - F.lit(step) * sum((F.lit(e) * F.col(f"p{i}") for i, e in error.items()), F.lit(0.0)))
         if k % mix.block == mix.block - 1:
             now, rate = written(now.withColumn("rate", rate)), F.col("rate")

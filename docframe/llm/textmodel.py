@@ -27,15 +27,19 @@ class Fit:
     rare_share: float = 0.2
 
 
+#: A feature that every text has.
+EVERY = ""
+
+
 def features_of(text: Column) -> Column:
-    """Distinct features: lower-cased words, the shapes of words (letters and digits each as one sign), and how often
-    words are repeated on the whole."""
+    """Distinct features: lower-cased words, the shapes of words (letters and digits each as one sign), how often words
+    are repeated on the whole, and EVERY."""
     words = words_of(F.lower(text))
-    shape = F.regexp_replace(F.regexp_replace(F.regexp_replace(text, r"\p{Ll}+", "a"), r"\p{Lu}+", "A"), r"\p{Nd}+", "9")
+    shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9")
     shapes = F.transform(F.array_distinct(F.split(shape, SPACE)), lambda s: F.concat(F.lit("shape "), s))
     distinct = F.array_distinct(words)
     repeats = F.concat(F.lit("repeats "), F.floor(F.log2(F.size(words) / F.greatest(F.size(distinct), F.lit(1)))).cast("string"))
-    return F.concat(distinct, shapes, F.array(F.coalesce(repeats, F.lit("repeats none"))))
+    return F.concat(distinct, shapes, F.array(F.coalesce(repeats, F.lit("repeats none")), F.lit(EVERY)))
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
@@ -73,15 +77,16 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[DataFr
 
 def evidence(docs: DataFrame, weights: DataFrame, labels: list[str]) -> DataFrame:
     """docs: (key columns..., text). The key columns with the array `evidence`: for each label the summed weights of the
-    text's features. Rows of equal keys and text give one row."""
+    text's features, and `times`, how many rows of equal keys and text it stands for."""
     keys = [c for c in docs.columns if c != "text"]
-    wide = weights.groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, k in enumerate(labels)])
+    wide = weights.where(F.col("feature") != EVERY).groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, k in enumerate(labels)])
+    wide = wide.unionByName(docs.sparkSession.createDataFrame([(EVERY, *[0.0] * len(labels))], wide.schema))
     rows = docs.select(*keys, F.explode(features_of(F.col("text"))).alias("feature"))
-    joined = rows.join(F.broadcast(wide), "feature", "left")
-    # each text has the feature of its repeats just once, so it tells how many times the row is there
-    times = F.greatest(F.count_if(F.col("feature").startswith("repeats ")), F.lit(1))
-    sums = [F.coalesce(F.sum(f"w{i}"), F.lit(0.0)) / times for i in range(len(labels))]
-    return joined.groupBy(*keys).agg(F.array(*sums).cast("array<double>").alias("evidence"))
+    joined = rows.join(F.broadcast(wide), "feature")
+    # each text has EVERY just once, so it tells how many times the row is there
+    times = F.greatest(F.count_if(F.col("feature") == EVERY), F.lit(1))
+    sums = [F.sum(f"w{i}") / times for i in range(len(labels))]
+    return joined.groupBy(*keys).agg(F.array(*sums).cast("array<double>").alias("evidence"), F.count_if(F.col("feature") == EVERY).alias("times"))
 
 
 def posteriors(evidence_col: Column, logs_before: list[float]) -> Column:

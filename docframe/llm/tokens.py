@@ -1,52 +1,103 @@
-"""Token ids of whole texts by a public tokenizer that drops white space, with a cache of words."""
+"""Token ids of whole texts by a public tokenizer that drops white space, with caches of words."""
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 
 #: Its id stands between words that are encoded together.
 _MARK = "<|endoftext|>"
+#: Below it, composed and decomposed forms don't differ, and lower case doesn't depend on the neighbours.
+_PLAIN_BELOW = "ɐ"
+
+
+def _byte_signs() -> dict[int, str]:
+    """The character that a byte-level vocabulary has for each byte: printable ones stand for themselves, the others
+    follow from code point 256 on."""
+    printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + k) for k, b in enumerate(others)}
 
 
 class WordTokens:
-    """For tokenizers whose pre-tokens never cross white space: words are encoded once and kept, up to most_words."""
+    """Runs of characters between ASCII white space are encoded once and kept, up to most_words.
 
-    def __init__(self, path: str, most_words: int = 400_000):
+    For tokenizers whose pre-tokens never cross white space. Where the file says that texts are lower-cased, split by
+    a pattern and encoded as bytes by BPE, plain words go through the pattern here, and their parts, kept as well, go to
+    the BPE model alone; all others are encoded by the whole tokenizer.
+    """
+
+    def __init__(self, path: str, most_words: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
         self.mark = self.tokenizer.token_to_id(_MARK)
         self.known: dict[bytes, bytes] = {}
+        self.parts: dict[str, bytes] = {}
+        self.pattern = self._pattern(json.loads(self.tokenizer.to_str()))
+        self.signs = _byte_signs()
+
+    @staticmethod
+    def _pattern(spec: dict):
+        """The pattern of a tokenizer of the plain kind, else None."""
+        normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
+        steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
+        if normal != ["NFC", "Replace", "Lowercase"] or [s.get("type") for s in steps] != ["Split", "ByteLevel"] or spec["model"].get("type") != "BPE":
+            return None
+        split, level = steps
+        if split.get("behavior") != "Removed" or not split.get("invert") or level.get("add_prefix_space") or level.get("use_regex") or "Regex" not in split["pattern"]:
+            return None
+        import regex
+
+        return regex.compile(split["pattern"]["Regex"] + "|\n")
+
+    def _part(self, part: str) -> bytes:
+        signs = part if part.isascii() else part.encode().decode("latin-1").translate(self.signs)
+        ids = self.parts[part] = b"".join([t.id.to_bytes(4, "little") for t in self.tokenizer.model.tokenize(signs)])
+        return ids
+
+    @staticmethod
+    def _plain(w: bytes) -> bool:
+        text = w.decode()
+        return b"<|" not in w and text.isprintable() and (not text or max(text) < _PLAIN_BELOW)
+
+    def _learn_plain(self, words: list[bytes]) -> None:
+        """All words go through the pattern as one text, with line ends between them."""
+        ends, parts, own = iter(words), self.parts, []
+        for x in self.pattern.findall(b"\n".join([*words, b""]).decode().lower()) if words else ():
+            if x == "\n":
+                self.known[next(ends)] = b"".join(own)
+                own = []
+            else:
+                ids = parts.get(x)
+                own.append(self._part(x) if ids is None else ids)
 
     def _learn(self, words: list[bytes], at_once: int = 4096) -> None:
-        if len(self.known) + len(words) > self.most_words:
-            self.known.clear()
-        plain = [w for w in words if b"<|" not in w] if self.mark is not None else []
-        for w in words if self.mark is None else [w for w in words if b"<|" in w]:
+        rest = words
+        if self.pattern is not None:
+            if len(self.parts) > self.most_words:
+                self.parts.clear()
+            rest = [w for w in words if not self._plain(w)] if not self._plain(b"".join(words)) else []
+            odd = set(rest)
+            self._learn_plain([w for w in words if w not in odd] if odd else words)
+        joined = [w for w in rest if b"<|" not in w] if self.mark is not None else []
+        for w in rest if self.mark is None else [w for w in rest if b"<|" in w]:
             self.known[w] = np.array(self.tokenizer.encode(w.decode(), add_special_tokens=False).ids, "<u4").tobytes()
-        for i in range(0, len(plain), at_once):
-            part = plain[i : i + at_once]
-            ids = np.array(self.tokenizer.encode(_MARK.join(w.decode() for w in part), add_special_tokens=False).ids, "<u4")
-            cuts = np.flatnonzero(ids == self.mark)
-            first = [0, *(cuts + 1).tolist()]
-            last = [*cuts.tolist(), len(ids)]
+        for i in range(0, len(joined), at_once):
+            some = joined[i : i + at_once]
+            ids = np.array(self.tokenizer.encode(_MARK.join(w.decode() for w in some), add_special_tokens=False).ids, "<u4")
+            cuts = np.flatnonzero(ids == self.mark).tolist()
             raw = ids.tobytes()
-            for w, a, b in zip(part, first, last, strict=True):
+            for w, a, b in zip(some, [0, *(c + 1 for c in cuts)], [*cuts, len(ids)], strict=True):
                 self.known[w] = raw[4 * a : 4 * b]
 
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text in UTF-8."""
         split = [t.split() for t in texts]
-        new = list({w for words in split for w in words if w not in self.known})
-        if len(new) > self.most_words // 2 and len(split) > 1:  # more than there is room for: one by one
-            return [self.encode([t])[0] for t in texts]
+        wanted = set().union(*split)
+        new = [w for w in wanted if w not in self.known]
+        if len(self.known) + len(new) > self.most_words:
+            self.known = {w: self.known[w] for w in wanted if w in self.known}
         self._learn(new)
-        missing = [w for words in split for w in words if w not in self.known] if len(self.known) == len(new) else []
-        if missing:  # the cache was emptied for the new words
-            self._learn_more(missing)
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
-
-    def _learn_more(self, words: list[bytes]) -> None:
-        room, self.most_words = self.most_words, 1 << 62
-        self._learn(list(dict.fromkeys(words)))
-        self.most_words = room
+        return [b"".join([*map(self.known.__getitem__, words)]) for words in split]

@@ -63,7 +63,7 @@ def replace_first(s: Column, search: str, put: str) -> Column:
 
 def replace_first_match(s: Column, pattern: str, put: str) -> Column:
     """The first match of a pattern; $1 and the like stand for groups, $& for the match."""
-    groups = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}", put.replace("$&", "$2"))
+    groups = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}", put).replace("$&", "$2")
     return F.regexp_replace(s, f"(?s)\\A(.*?)({pattern})", f"$1{groups}")
 
 

@@ -13,7 +13,8 @@ WRAPPERS = ("rows", "items", "data")
 
 
 def read_json(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, lines: bool = False, comments: bool = False) -> DataFrame:
-    """JSON documents (or JSON lines), strictly: text that is no JSON is an error that names the file."""
+    """JSON documents (or JSON lines), strictly: text that is no JSON is an error, which names the file where a schema is
+    given."""
     reader = spark.read.options(multiLine=not lines, mode="FAILFAST", allowSingleQuotes=False, allowNonNumericNumbers=False, allowComments=comments)
     return (reader.schema(schema) if schema else reader).json(path)
 

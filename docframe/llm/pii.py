@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docframe.llm.bilstm_crf import Tagger
-from docframe.llm.common import text_of
+from docframe.llm.common import smallest_hashes, text_of
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = 1 + 2 * len(KINDS)  # none, then a first and a further one of each kind
@@ -75,10 +75,12 @@ def signs_of(text: str) -> np.ndarray:
 
 @dataclass(frozen=True)
 class Training:
-    """Labelled spans: those of at most most_docs documents with a trigger (the smallest hashes of the id), and `made`
+    """Labelled spans: those of at most most_docs documents with a trigger and at most most_chars characters (the smallest
+    hashes of the id), and `made`
     ones that a rule writes into plain words, in forms that the patterns don't have."""
 
     most_docs: int = 200
+    most_chars: int = 20_000
     made: int = 500
     window: int = 64
     hidden: int = 16
@@ -236,7 +238,9 @@ def find(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", tra
     """
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    sample = texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= 20_000)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(training.most_docs)
+    # at most most_docs ids of texts that aren't long, then their texts
+    ids = smallest_hashes(texts.where(F.col("text").rlike("[0-9@]") & (F.length("text") <= training.most_chars)).select("doc_id"), "doc_id", training.most_docs)
+    sample = texts.join(F.broadcast(ids.distinct()), "doc_id").where(F.length("text") <= training.most_chars).groupBy("doc_id").agg(F.max("text").alias("text")).orderBy("doc_id")
     labelled = [(r["text"], base_spans(r["text"])) for r in sample.collect()]
     tagger = spark.sparkContext.broadcast(trained(labelled + _made(training.made), training))
     schema = "doc_id long, " + ", ".join(f"n_{k} long" for k in KINDS) + ", base_sha256 string, spans string"

@@ -43,4 +43,14 @@ def text_of(name: str) -> Column:
 
 def words_of(text: Column) -> Column:
     """The maximal runs of characters outside ASCII white space."""
-    return F.filter(F.split(text, SPACE), lambda w: w != "")
+    inner = F.trim(text, F.lit(" \t\n\x0b\f\r"))
+    return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, SPACE))
+
+
+def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
+    """The `most` rows with the smallest hashes of the key. On many rows a cut at twice their expected share comes
+    first, so that not every task sends so many."""
+    h, n = F.xxhash64(key), rows.count()
+    if n > 4 * most:
+        rows = rows.where(h < F.lit(int(-(1 << 63) + (2 * most / n) * (1 << 64))))
+    return rows.orderBy(h, key).limit(most)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import SPACE, words_of, written
+from docframe.llm.common import SPACE, smallest_hashes, words_of, written
 
 
 @dataclass(frozen=True)
@@ -46,7 +46,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[DataFr
     """docs: (id, text); labels: (id, label string). Returns the weights (feature, label, weight), at most most_features
     features, each label's share of the labelled documents, and its evidence from a text without any of the features."""
     chosen = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
-    chosen = chosen.orderBy(F.xxhash64("id"), "id").limit(fit.most_rows)
+    chosen = smallest_hashes(chosen, "id", fit.most_rows)
     rows = docs.join(F.broadcast(chosen), "id").select("label", features_of(F.col("text")).alias("features"))
     rows = written(rows)
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}

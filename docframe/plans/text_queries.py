@@ -105,6 +105,16 @@ def number_double_text(t):
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", V.number_string(F.col("l_quantity"), T.DoubleType()).alias("quantity_text"), V.number_string(F.col("l_discount"), T.DoubleType()).alias("discount_text"))
 
 
+@query("""WITH o AS (SELECT o_orderkey, o_totalprice::DECIMAL(18,2) AS x, CASE WHEN o_totalprice >= 100000 THEN 5 ELSE 4 END AS e FROM orders WHERE o_totalprice >= 10000 AND o_totalprice < 990000),
+n AS (SELECT o_orderkey, e, (x * 100 + 50 * (10 ** (e - 2))::BIGINT)::BIGINT // (100 * (10 ** (e - 2))::BIGINT) AS a, (x * 100 + 50 * (10 ** (e - 3))::BIGINT)::BIGINT // (100 * (10 ** (e - 3))::BIGINT) AS b FROM o)
+SELECT o_orderkey, CASE WHEN a >= 1000 THEN '1.00e+' || (e + 1) ELSE (a // 100) || '.' || lpad((a % 100)::VARCHAR, 2, '0') || 'e+' || e END AS exponential,
+CASE WHEN b >= 10000 THEN '1.000e+' || (e + 1) ELSE (b // 1000) || '.' || lpad((b % 1000)::VARCHAR, 3, '0') || 'e+' || e END AS precise FROM n""")
+def number_exponential(t):
+    """With an exponent, and with four significant digits."""
+    rows = t("orders").where("o_totalprice >= 10000 and o_totalprice < 990000")
+    return rows.select("o_orderkey", V.to_exponential(F.col("o_totalprice"), 2).alias("exponential"), V.to_precision(F.col("o_totalprice"), 4).alias("precise"))
+
+
 @query(r"SELECT event_id, coalesce(try_cast(regexp_extract(event_type || event_id::VARCHAR, '[0-9]+') AS DOUBLE), 0) AS a, 0::DOUBLE AS b, coalesce(value, 0) AS c FROM events")
 def number_coerced(t):
     """What reads as a number, else 0."""

@@ -36,8 +36,10 @@ def exact_groups(
         raise ValueError("keep is 'smallest' or 'largest'")
     body = text_of(text_col)
     body = body if normalise is None else normalise(body)
+    # without a normaliser the text is carried once, as the sort key
+    rest = [c for c in docs.columns if normalise is not None or c != text_col]
     src = docs.select(
-        F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"),
+        F.struct(*[F.col(f"`{c}`") for c in rest], F.col(text_col).isNull().alias("_null_text")).alias("rest"),
         F.col(id_col).alias("id"),
         body.alias("body"),
     ).withColumn("h", F.xxhash64("body"))
@@ -63,16 +65,19 @@ def exact_groups(
     run = Window.partitionBy("lead", "h", "salt", "body").orderBy(order)
     whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     compared = dealt.select(
-        "row",
+        "rest",
         "id",
+        "body",
         F.row_number().over(run).alias("place"),
         F.first("id").over(whole).alias("keep_here"),
         F.count(F.lit(1)).over(whole).alias("size_here"),
         F.sha2("body", 256).alias("text_sha256"),
     )
     keep_id = F.coalesce("m_keep", "keep_here")
+    own = F.when(F.col("rest._null_text"), F.lit(None)).otherwise(F.col("body")).cast(docs.schema[text_col].dataType)
+    row = [F.col(f"rest.`{c}`").alias(c) if c in rest else own.alias(c) for c in docs.columns]
     return compared.join(F.broadcast(merged), "text_sha256", "left").select(
-        "row",
+        F.struct(*row).alias("row"),
         keep_id.alias("keep_id"),
         F.coalesce("m_size", "size_here").cast("long").alias("group_size"),
         ((F.col("place") == 1) & F.col("id").eqNullSafe(keep_id)).alias("kept"),

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import text_of, written
+from docframe.llm.common import smallest_hashes, text_of, written
 from docframe.llm.shingles import blocks
 
 
@@ -23,7 +23,7 @@ class Evidence:
     documents, is rejected. host_weight, suffix_weight: of the level above, in documents."""
 
     most_rows: int = 1_000
-    least_rows: int = 20
+    least_rows: int = 5
     most_languages: int = 200
     grams: int = 1 << 14
     most_grams: int = 60
@@ -109,8 +109,9 @@ def _sums(name: str, n: int, prefix: str) -> list[Column]:
     return [F.sum(F.col(name)[k]).alias(f"{prefix}{k}") for k in range(n)]
 
 
-def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", declared_col: str = "declared", suffix_col: str = "suffix", host_col: str = "host", evidence: Evidence = Evidence()) -> DataFrame:
-    """One row per row of docs: id_col, language, posterior, declared, text_language, n_grams, kept.
+def identify(docs: DataFrame, sites: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", source_col: str = "source", evidence: Evidence = Evidence()) -> DataFrame:
+    """sites: (id, host, markup), one row for an id. One row per row of docs: id_col, language, posterior, declared,
+    text_language, n_grams, kept. A document without a site is declared by its own row, and its source is its host.
 
     The text model (smoothed byte 3-grams) is fitted on declared documents. Its posteriors, summed by groups, give the
     rest: how often each language declares what (smoothed towards what it should declare), the languages of an address
@@ -119,26 +120,35 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     declaration's log-likelihood and of the host's prior.
 
     Defined results: null and empty texts, and those of fewer than least_letters letters, have a null language,
-    posterior 0 and are not kept; a null declaration, suffix or host is a value of its own; without enough declared
+    posterior 0 and are not kept; a null declaration, source or host is a value of its own; without enough declared
     documents of any language, language is null and every text with letters is kept; repeated rows have a result each;
     no rows give no rows; other columns are not read.
     """
     spark = docs.sparkSession
-    value = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
-    texts = docs.select(
-        F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.lower(value(declared_col)).alias("declared"), F.lower(value(suffix_col)).alias("suffix"), F.lower(value(host_col)).alias("host")
-    )
-    rows_of = texts.where("declared <> '' and text <> ''").groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= evidence.least_rows)
+    value = lambda c: F.lower(F.coalesce(F.col(c).cast("string"), F.lit("")))
+    texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"), value(lang_col).alias("lang"), value(source_col).alias("source"))
+    known = written(sites.select(F.col("id").cast("long").alias("id_s"), F.lower("host").alias("host_s"), F.lower("markup").alias("markup_s")).where("id_s is not null"))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        """rows with their site; texts stay where they are."""
+        host = F.coalesce("host_s", "source")
+        suffix = F.when(host.contains("."), F.regexp_extract(host, r"\.([a-z]+)(?::\d+)?$", 1)).otherwise(F.lit(""))
+        joined = rows.join(known, rows["id"] == known["id_s"], "left")
+        return joined.withColumns({"declared": F.coalesce("markup_s", "lang"), "host": host, "suffix": suffix}).drop("id_s", "host_s", "markup_s", "lang", "source")
+
+    declared = written(placed(texts.where("text <> ''").select("id", "lang", "source")).where("declared <> ''").select("id", "declared"))
+    rows_of = declared.groupBy("declared").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= evidence.least_rows)
     langs = sorted(r["declared"] for r in rows_of.orderBy(F.desc("n"), "declared").limit(evidence.most_languages).collect())
     letters = F.length(F.regexp_replace("text", r"[^\p{L}]+", "")).cast("long")
     if not langs:
-        return texts.select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_grams"), (letters >= evidence.least_letters).alias("kept"))
-    each = [texts.where((F.col("declared") == lang) & (F.col("text") != "")).select("id", "declared").orderBy(F.xxhash64("id"), "id").limit(evidence.most_rows) for lang in langs]
+        return placed(texts).select(F.col("id").alias(id_col), F.lit(None).cast("string").alias("language"), F.lit(0.0).alias("posterior"), "declared", F.lit(None).cast("string").alias("text_language"), F.lit(0).cast("long").alias("n_grams"), (letters >= evidence.least_letters).alias("kept"))
+    # at most most_rows ids of each of at most most_languages languages
+    each = [smallest_hashes(declared.where(F.col("declared") == lang), "id", evidence.most_rows) for lang in langs]
     chosen = each[0]
     for more in each[1:]:
         chosen = chosen.unionByName(more)
-    chosen = chosen.select(F.col("id").alias("id_c"), F.col("declared").alias("declared_c")).distinct()
-    sample = texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("id_c")) & (F.col("declared") == F.col("declared_c"))).select("declared", "text")
+    chosen = chosen.groupBy(F.col("id").alias("id_c")).agg(F.min("declared").alias("declared"))
+    sample = texts.join(F.broadcast(chosen), F.col("id").eqNullSafe(F.col("id_c"))).select("declared", "text")
     counted = sample.mapInArrow(_counts(evidence), "lang string, gram long, n double").groupBy("lang", "gram").agg(F.sum("n").alias("n")).collect()
     logs = np.full((evidence.grams + 1, len(langs)), 0.5 / evidence.grams)
     for r in counted:
@@ -147,9 +157,10 @@ def identify(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     logs[-1] = 0
     model = spark.sparkContext.broadcast(logs)
 
-    scored = texts.select("id", "text", "declared", "suffix", "host", letters.alias("letters")).mapInArrow(
-        _likelihoods(evidence, model), "id long, declared string, suffix string, host string, letters long, n_grams long, mean array<double>"
+    scored = texts.select("id", "text", "lang", "source", letters.alias("letters")).mapInArrow(
+        _likelihoods(evidence, model), "id long, lang string, source string, letters long, n_grams long, mean array<double>"
     )
+    scored = placed(scored)
     weight = F.least(F.col("n_grams"), F.lit(evidence.most_grams))
     scored = written(scored.withColumn("share", _softmax(F.transform("mean", lambda m: m * weight))))
     n = len(langs)

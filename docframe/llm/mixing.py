@@ -15,12 +15,14 @@ from docframe.llm.common import text_of, words_of, written
 @dataclass(frozen=True)
 class Mix:
     """targets: each domain's share of the tokens of the mixture; shares are scaled to add up to 1. size: tokens of the
-    mixture as a share of the corpus's; None for the most that needs no domain more often than it is there. tolerance:
+    mixture as a share of the corpus's; None for the most that needs no domain more often than it is there. stretch: of that size; above 1, a draw
+    without repeats keeps the scarcest domain whole. tolerance:
     of the largest error of a domain's tokens, against the mixture's; steps that change less than a hundredth of it end
     the search too. most_rounds of gradient steps; after each `block` of them the rates are written."""
 
     targets: dict[str, float] = field(default_factory=lambda: {"good": 0.96, "plain": 0.03, "toxic": 0.01})
     size: float | None = None
+    stretch: float = 1.0
     tolerance: float = 1e-3
     block: int = 8
     most_rounds: int = 80
@@ -63,7 +65,7 @@ def rates(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     used = [i for i, s in enumerate(whole) if s > 0]
     share = {i: mix.targets.get(names[i], 1.0) for i in used}
     share = {i: s / sum(share.values()) for i, s in share.items()}
-    size = sum(whole) * mix.size if mix.size is not None else min((whole[i] / share[i] for i in used), default=0.0)
+    size = mix.stretch * (sum(whole) * mix.size if mix.size is not None else min((whole[i] / share[i] for i in used), default=0.0))
     target = {i: s * size for i, s in share.items()}
     rate, step, last = F.col("rate"), 1.0, None
     for k in range(mix.most_rounds):

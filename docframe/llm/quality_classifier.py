@@ -39,30 +39,32 @@ def _prior_weight(sites: DataFrame, total: Column, n: Column, centre: Column, le
     return min(level.most_weight, max(level.least_weight, 1 / between - 1)) if between > 0 else level.most_weight
 
 
-def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", host_col: str = "host", path_col: str = "path", sites: Sites = Sites()) -> DataFrame:
-    """labels: (id, label 'good' or 'bad'). One row per row of docs: id_col, host, path, text_quality, path_quality (the
-    shrunk mean of the other documents on the path), quality and kept.
+def judge(docs: DataFrame, labels: DataFrame, places: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", section_col: str = "lang", sites: Sites = Sites()) -> DataFrame:
+    """labels: (id, label 'good' or 'bad'); places: (id, host, path), one row for an id; a document without a place has
+    its source as host and its section as path. One row per row of docs: id_col, host, path, text_quality, path_quality
+    (the shrunk mean of the other documents on the path), quality and kept.
 
     Evidence: naive Bayes log-odds of good against bad. Each document's share of good under the labels' prior is summed
     by path with map-side partials, paths by host, hosts in all. A host's mean is shrunk to the global mean, a path's to
     its host's, by prior weights from the spread of sites; a path's mean leaves the document itself out. The posterior's
     log-odds are the text's plus the path's.
 
-    Defined results: null text counts as empty, with evidence 0; a null host or path is a site of its own; without
+    Defined results: null text counts as empty, with evidence 0; a null source or section is a site of its own; without
     labelled rows all evidence is 0 and everything is kept; repeated rows have a result each; no rows give no rows;
     other columns are not read.
     """
-    texts = docs.select(
-        F.col(id_col).alias("id"), text_of(text_col).alias("text"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(path_col).cast("string"), F.lit("")).alias("path")
-    )
+    own = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    texts = docs.select(F.col(id_col).alias("id"), text_of(text_col).alias("text"), own(source_col).alias("source"), own(section_col).alias("section"))
+    known = places.select(F.col("id").alias("id_s"), F.col("host").alias("host_s"), F.col("path").alias("path_s")).where("id_s is not null")
     weights, priors, bare = textmodel.fitted(texts.select("id", "text"), labels, sites.fit)
     good = priors.get("good", 0.5) if len(priors) > 1 else 0.5
-    seen = textmodel.evidence(texts.select("id", "host", "path", "text", F.xxhash64("text").alias("h")), weights, ["good", "bad"])
+    seen = textmodel.evidence(texts.select("id", "source", "section", "text", F.xxhash64("text").alias("h")), weights, ["good", "bad"])
     odds = F.col("evidence")[0] - F.col("evidence")[1] + F.lit(bare.get("good", 0.0) - bare.get("bad", 0.0))
     prior = float(min(1 - 1e-6, max(1e-6, good)))
     share = 1 / (1 + F.exp(-(odds + F.log(F.lit(prior / (1 - prior))))))
-    scored = written(seen.select("id", "host", "path", "h", odds.alias("odds"), share.alias("share")))
-    paths = written(scored.groupBy("host", "path").agg(F.sum("share").alias("good_p"), F.count(F.lit(1)).alias("n_p")))
+    seen = seen.join(known, seen["id"] == known["id_s"], "left").withColumns({"host": F.coalesce("host_s", "source"), "path": F.coalesce("path_s", "section")})
+    scored = written(seen.select("id", "host", "path", "times", odds.alias("odds"), share.alias("share")))
+    paths = written(scored.groupBy("host", "path").agg(F.sum(F.col("share") * F.col("times")).alias("good_p"), F.sum("times").alias("n_p")))
     hosts = written(paths.groupBy("host").agg(F.sum("good_p").alias("good_h"), F.sum("n_p").alias("n_h")))
     total = hosts.agg(F.sum("good_h").alias("g"), F.sum("n_h").alias("n")).first()
     mean = total["g"] / total["n"] if total["n"] else 0.5
@@ -73,8 +75,6 @@ def judge(docs: DataFrame, labels: DataFrame, *, id_col: str = "doc_id", text_co
     joined = scored.join(both, ["host", "path"])
     path_quality = (F.col("good_p") - F.col("share") + k_path * F.col("mean_h")) / (F.col("n_p") - 1 + F.lit(k_path))
     joined = joined.withColumn("path_quality", path_quality).withColumn("quality", 1 / (1 + F.exp(-(F.col("odds") + _logit(F.col("path_quality"))))))
-    result = joined.select("id", "h", "host", "path", F.col("share").alias("text_quality"), "path_quality", "quality")
-    # equal rows were scored once
-    rows = texts.select(F.col("id").alias("id_r"), F.xxhash64("text").alias("h_r"), F.col("host").alias("host_r"), F.col("path").alias("path_r"))
-    back = rows.join(result, F.col("id").eqNullSafe(F.col("id_r")) & (F.col("h") == F.col("h_r")) & (F.col("host") == F.col("host_r")) & (F.col("path") == F.col("path_r")))
-    return back.select(F.col("id").alias(id_col), "host", "path", "text_quality", "path_quality", "quality", (F.col("quality") >= sites.least_quality).alias("kept"))
+    # rows that were scored together are taken apart again
+    each = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))
+    return each.select(F.col("id").alias(id_col), "host", "path", F.col("share").alias("text_quality"), "path_quality", "quality", (F.col("quality") >= sites.least_quality).alias("kept"))

@@ -6,29 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
-from docframe.llm.common import table
+from docframe.llm.common import table, written  # noqa: F401
 
 
-def with_sites(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """docs with host and path: of the page whose address ends in the document's id, else the source and the language.
-    Of several pages the smallest page_id counts."""
+def sites_of(pages: DataFrame) -> DataFrame:
+    """(id, host, path, markup) for each id that ends a page's address: of several pages the smallest page_id counts."""
     address = F.col("url")
     host = F.regexp_extract(address, r"^\w+://([^/?#]*)", 1)
     path = F.concat(F.lit("/"), F.regexp_extract(address, r"^\w+://[^/?#]*/([^/?#]*)/", 1))
     key = F.regexp_extract(address, r"/(\d{1,18})(?:\.html?|/)?(?:[?#].*)?$", 1)
-    markup = F.col("markup") if "markup" in pages.columns else F.lit(None).cast("string")
-    known = pages.select(F.when(key != "", key.cast("long")).alias("doc_key"), "page_id", host.alias("host"), path.alias("path"), markup.alias("markup")).where("doc_key is not null")
-    one = known.groupBy("doc_key").agg(F.min_by(F.struct("host", "path", "markup"), "page_id").alias("site"))
-    joined = docs.join(one, docs["doc_id"] == one["doc_key"], "left")
-    return joined.select(
-        *[docs[c] for c in ("doc_id", "text", "lang", "source")], F.coalesce("site.host", docs["source"]).alias("host"), F.coalesce("site.path", docs["lang"]).alias("path"), F.col("site.markup").alias("markup")
-    )
+    markup = F.regexp_extract("html", r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
+    known = pages.select(F.when(key != "", key.cast("long")).alias("id"), "page_id", host.alias("host"), path.alias("path"), F.when(markup != "", markup).alias("markup")).where("id is not null")
+    return known.groupBy("id").agg(F.min_by(F.struct("host", "path", "markup"), "page_id").alias("site")).select("id", "site.*")
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
     labels = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.when(F.col("quality") == 1, "good").when(F.col("quality") == 0, "bad").alias("label"))
-    return quality_classifier.judge(with_sites(docs, table(spark, sf_dir, "pages").select("page_id", "url")), labels)
+    return quality_classifier.judge(table(spark, sf_dir, "documents"), labels, sites_of(table(spark, sf_dir, "pages")))
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -56,17 +50,8 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(table(spark, sf_dir, "documents"))
 
 
-def with_address(docs: DataFrame, pages: DataFrame) -> DataFrame:
-    """docs with declared, suffix and host: the page's markup language, or else the row's own lang; the last part of the
-    host's name, and the host, or else the source."""
-    markup = F.regexp_extract("html", r"(?i)<html\b[^>]*?\slang\s*=\s*[\"']?([a-z]{2,3})", 1)
-    sited = with_sites(docs, pages.select("page_id", "url", F.when(markup != "", markup).alias("markup")))
-    suffix = F.when(F.col("host").contains("."), F.regexp_extract("host", r"\.([A-Za-z]+)(?::\d+)?$", 1)).otherwise(F.lit(""))
-    return sited.withColumn("declared", F.coalesce("markup", "lang")).withColumn("suffix", suffix)
-
-
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return language_id.identify(with_address(table(spark, sf_dir, "documents"), table(spark, sf_dir, "pages")))
+    return language_id.identify(table(spark, sf_dir, "documents"), sites_of(table(spark, sf_dir, "pages")))
 
 
 def digest(pieces: DataFrame) -> DataFrame:

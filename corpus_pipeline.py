@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from docframe.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from docframe.llm.common import table, written
-from docframe.llm.queries import digest, domain_labels, with_address
+from docframe.llm.queries import digest, domain_labels, sites_of
 
 #: SQL can't express the language model, the classes of near copies or the packing; tests hold run() against plain Python.
 ORACLE_SQL = None
@@ -14,7 +14,7 @@ ORACLE_SQL = None
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is told; those without letters, of no clear language or unlike their language go."""
-    found = language_id.identify(with_address(docs, table(spark, sf_dir, "pages")))
+    found = language_id.identify(docs, sites_of(table(spark, sf_dir, "pages")))
     return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
 
 
@@ -29,8 +29,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the rates that give the domains their target shares."""
-    return mixing.mixed(docs, domain_labels(table(spark, sf_dir, "labels")))
+    """Documents drawn by the rates that give the domains their target shares, with room to keep the good ones whole."""
+    return mixing.mixed(docs, domain_labels(table(spark, sf_dir, "labels")), mix=mixing.Mix(stretch=1.1))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -188,7 +188,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     by_token = np.argsort(top[:, 0].view(np.uint64))
     ranked = spark.sparkContext.broadcast((top[by_token, 0].view(np.uint64), -by_token))
     same = sizes.where("n > 0 and id is not null").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
-    member = written(sizes.join(same, ["n", "one", "two"], "left").select("id", "n", F.coalesce("rep", "id").alias("rep"), *SKETCH_COLS))
+    member = written(sizes.join(same, ["n", "one", "two"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), *SKETCH_COLS))
 
     hot = spark.createDataFrame([(int(t),) for t in top[:, 0]], "token long")
     prefix = texts.where("id is not null").mapInArrow(_prefixes(join, ranked), "token long, id long, n int, pos int")
@@ -213,7 +213,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         & (F.least(F.col("a.n") - F.col("a.pos"), F.col("b.n") - F.col("b.pos")) >= need)
         & _possible("a", "b", join.percent)
     )
-    rest = rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct()
+    rest = written(rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
     found = _verify(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, join)
     links = written(tried.where("linked").select("a", "b").unionByName(found.where("linked").select("a", "b")))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -227,9 +227,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
 def _verify(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
     """pairs: (a, b) in any order, repeated or not; each is verified once. Written (a, b, linked), a < b."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()
-    own = written(texts.join(wanted, "id", "left_semi"))
-    both = pairs.join(own.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(own.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
+    dealt = texts.repartition("id")  # one exchange of the texts, read from both sides
+    both = pairs.join(dealt.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(dealt.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     done = both.select("a", "b", "ta", "tb").mapInArrow(_verified(join), "a long, b long, linked boolean")
     return written(done.groupBy("a", "b").agg(F.bool_or("linked").alias("linked")))
 

@@ -77,7 +77,8 @@ def last_index_of(df: DataFrame, column: str, value, position: str = "_pos") ->
 
 
 def join_text(df: DataFrame, column: str, order_by: str, separator: str = ",") -> DataFrame:
-    """One row `text`: the column's texts in order, nulls as ''. The order column is unique."""
+    """One row `text`: the column's texts in order, nulls as ''. The order column is unique. For datasets whose text fits
+    one row, as a joined text must."""
     item = F.struct(F.col(order_by).alias("o"), F.coalesce(F.col(column).cast("string"), F.lit("")).alias("t"))
     return df.agg(F.array_join(F.transform(F.sort_array(F.collect_list(item)), lambda s: s["t"]), separator).alias("text"))
 

@@ -5,6 +5,7 @@ from pyspark.sql import types as T
 
 from docframe.functions import strings as S
 from docframe.functions import values as V
+from docframe.operators import order
 from docframe.plans.registry import query
 
 
@@ -86,9 +87,8 @@ def text_any_case(t):
 @query("SELECT n_name, row_number() OVER (ORDER BY n_name) AS place FROM nation")
 def text_locale_order(t):
     """Locale order (of names in one case it is the binary one)."""
-    from pyspark.sql import Window
-
-    return t("nation").select("n_name", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(S.locale_key(F.col("n_name")))).cast("long").alias("place"))
+    placed = order.with_position(t("nation").select("n_name"), [S.locale_key(F.col("n_name"))])
+    return placed.select("n_name", (F.col("_pos") + 1).alias("place"))
 
 
 @query("SELECT o_orderkey, o_custkey::VARCHAR AS as_text, lower(to_base(o_orderkey, 16)) AS hex, printf('%.2f', o_totalprice) AS fixed FROM orders")

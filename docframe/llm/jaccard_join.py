@@ -18,6 +18,8 @@ from docframe.llm.shingles import mix, shingle_sets
 #: Longs of a set's sketch: for each of 64 * SKETCH classes of hashes, whether the set has an odd number of them.
 SKETCH = 8
 SKETCH_COLS = [f"s{k}" for k in range(SKETCH)]
+#: Longs of the large sketch, which a pair is held against before its texts are fetched.
+LARGE = 64
 
 
 @dataclass(frozen=True)
@@ -42,27 +44,34 @@ def _census(join: Join):
             some = counts > 1
             return rows(1, values[some].view(np.int64), counts[some], np.zeros(some.sum(), np.int64), np.zeros(some.sum(), np.int64))
 
-        def rows(kind: int, a, b, c, d, sketch=None) -> pa.RecordBatch:
+        def rows(kind: int, a, b, c, d, odd=None) -> pa.RecordBatch:
             cols = [pa.array(x, pa.int64()) for x in (a, b, c, d)]
-            words = [pa.nulls(len(cols[1]), pa.int64()) if sketch is None else pa.array(sketch[:, k].view(np.int64)) for k in range(SKETCH)]
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(cols[1]), kind, np.int32)), *cols, *words], ["kind", "a", "b", "c", "d", *SKETCH_COLS])
+            n = len(cols[1])
+            if odd is None:
+                words, large = [pa.nulls(n, pa.int64())] * SKETCH, pa.nulls(n, pa.list_(pa.int64()))
+            else:
+                small = odd.reshape(n, LARGE // SKETCH, 64 * SKETCH).sum(axis=1, dtype=np.uint8) & 1  # parities add up
+                small = np.packbits(small, axis=1).view(np.int64).reshape(n, SKETCH)
+                words = [pa.array(np.ascontiguousarray(small[:, k])) for k in range(SKETCH)]
+                bits = np.packbits(odd, axis=1).view(np.int64).ravel()
+                large = pa.ListArray.from_arrays(pa.array(np.arange(0, n * LARGE + 1, LARGE, dtype=np.int32)), pa.array(bits))
+            return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols, *words, large], ["kind", "a", "b", "c", "d", *SKETCH_COLS, "large"])
 
         kept, held = [], 0
-        for batch in batches:
+        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
-            sketch = np.zeros((batch.num_rows, SKETCH), np.uint64)
+            odd = np.zeros((batch.num_rows, 64 * LARGE), np.uint8)
             for i, own in shingle_sets(batch.column(1), join.words):
                 n[i] = len(own)
                 one[i] = mix(own).sum(dtype=np.uint64).view(np.int64)
                 two[i] = mix(own ^ np.uint64(0xA5A5A5A5A5A5A5A5)).sum(dtype=np.uint64).view(np.int64)
-                odd = np.bincount((own % np.uint64(64 * SKETCH)).astype(np.int64), minlength=64 * SKETCH) & 1
-                sketch[i] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
+                odd[i] = np.bincount((own % np.uint64(64 * LARGE)).astype(np.int64), minlength=64 * LARGE) & 1
                 kept.append(own)
                 held += len(own)
                 if held >= join.chunk:
                     yield counted(kept)
                     kept, held = [], 0
-            yield rows(0, batch.column(0), n, one, two, sketch)
+            yield rows(0, batch.column(0), n, one, two, odd)
         if kept:
             yield counted(kept)
 
@@ -181,7 +190,8 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
     sketch_schema = ", ".join(f"{s} long" for s in SKETCH_COLS)
-    census = written(texts.mapInArrow(_census(join), f"kind int, a long, b long, c long, d long, {sketch_schema}"))
+    census = written(texts.mapInArrow(_census(join), f"kind int, a long, b long, c long, d long, {sketch_schema}, large array<long>"))
+    large = census.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "large")
     sizes = census.where("kind = 0").select(F.col("a").alias("id"), F.col("b").alias("n"), F.col("c").alias("one"), F.col("d").alias("two"), *SKETCH_COLS)
     top = census.where("kind = 1").groupBy("a").agg(F.sum("b").alias("n")).orderBy(F.desc("n"), "a").limit(join.order_size).collect()
     top = np.array([(r["a"], r["n"]) for r in top], np.int64).reshape(-1, 2)
@@ -200,7 +210,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     reps = member.where("id = rep").groupBy("id").agg(*[F.first(s).alias(s) for s in SKETCH_COLS])
     posting = written(shared.join(reps, "id").withColumn("class", F.col("id")))
 
-    tried = _verify(_stars(posting, join), texts, join)
+    tried = _verify(_stars(posting, join), texts, large, join)
     left = _reclassed(posting, tried.where("linked"))
 
     a, b = (left.select("token", F.struct("id", "n", "pos", "class", *SKETCH_COLS).alias(x)) for x in "ab")
@@ -214,7 +224,7 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         & _possible("a", "b", join.percent)
     )
     rest = written(rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
-    found = _verify(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, join)
+    found = _verify(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, large, join)
     links = written(tried.where("linked").select("a", "b").unionByName(found.where("linked").select("a", "b")))
     final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     touching = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links_found"))
@@ -224,9 +234,16 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, join: Join) -> DataFrame:
-    """pairs: (a, b) in any order, repeated or not; each is verified once. Written (a, b, linked), a < b."""
+def _verify(pairs: DataFrame, texts: DataFrame, large: DataFrame, join: Join) -> DataFrame:
+    """pairs: (a, b) in any order, repeated or not; each is held against the large sketches and, if they leave it
+    possible, verified once. Written (a, b, linked), a < b, without the impossible ones."""
     pairs = written(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+    sketch = large.repartition("id")
+    side = lambda c: sketch.select(F.col("id").alias(c), F.col("n").alias(f"n{c}"), F.col("large").alias(f"l{c}"))
+    differ = F.aggregate(F.zip_with("la", "lb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    size = F.col("na") + F.col("nb")
+    likely = pairs.join(side("b"), "b").join(side("a"), "a").where(differ <= size - 2 * F.ceil(join.percent * size / F.lit(100 + join.percent)))
+    pairs = written(likely.select("a", "b").distinct())
     dealt = texts.repartition("id")  # one exchange of the texts, read from both sides
     both = pairs.join(dealt.select(F.col("id").alias("b"), F.col("text").alias("tb")), "b").join(dealt.select(F.col("id").alias("a"), F.col("text").alias("ta")), "a")
     done = both.select("a", "b", "ta", "tb").mapInArrow(_verified(join), "a long, b long, linked boolean")

@@ -197,7 +197,9 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     top = np.array([(r["a"], r["n"]) for r in top], np.int64).reshape(-1, 2)
     by_token = np.argsort(top[:, 0].view(np.uint64))
     ranked = spark.sparkContext.broadcast((top[by_token, 0].view(np.uint64), -by_token))
-    same = sizes.where("n > 0 and id is not null").groupBy("n", "one", "two").agg(F.min("id").alias("rep"))
+    same = sizes.where("n > 0 and id is not null").groupBy("n", "one", "two").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("times"))
+    # written, so that the join has exchanges of its own on both sides and a hot group's rows can be split among tasks
+    same = written(same.where("times > 1").drop("times"))
     member = written(sizes.join(same, ["n", "one", "two"], "left").select("id", "n", F.when(F.col("id").isNotNull(), F.coalesce("rep", "id")).alias("rep"), *SKETCH_COLS))
 
     hot = spark.createDataFrame([(int(t),) for t in top[:, 0]], "token long")

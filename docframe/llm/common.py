@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -54,3 +56,15 @@ def smallest_hashes(rows: DataFrame, key: str, most: int) -> DataFrame:
     if n > 4 * most:
         rows = rows.where(h < F.lit(int(-(1 << 63) + (2 * most / n) * (1 << 64))))
     return rows.orderBy(h, key).limit(most)
+
+
+@contextmanager
+def arrow_rows(spark: SparkSession, n: int) -> Iterator[None]:
+    """Arrow batches of n rows for what is run (not only planned) inside: bounds what a Python worker holds of long texts."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)

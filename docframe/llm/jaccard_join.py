@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from docframe.llm.common import text_of, written
+from docframe.llm.common import arrow_rows, text_of, written
 from docframe.llm.components import components
 from docframe.llm.shingles import mix, shingle_sets
 
@@ -32,7 +32,8 @@ class Join:
     percent: int = 75
     order_size: int = 1 << 16
     spread_parts: int = 64
-    chunk: int = 1 << 21
+    chunk: int = 1 << 20
+    batch_rows: int = 1024
 
 
 def _census(join: Join):
@@ -58,7 +59,7 @@ def _census(join: Join):
             return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), *cols, *words, large], ["kind", "a", "b", "c", "d", *SKETCH_COLS, "large"])
 
         kept, held = [], 0
-        for batch in (whole.slice(k, 1024) for whole in batches for k in range(0, whole.num_rows, 1024)):
+        for batch in batches:
             n, one, two = (np.zeros(batch.num_rows, np.int64) for _ in range(3))
             odd = np.zeros((batch.num_rows, 64 * LARGE), np.uint8)
             for i, own in shingle_sets(batch.column(1), join.words):
@@ -187,8 +188,13 @@ def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     one document; a row of null id is its own class with a null component_id; no rows give no rows; other columns are
     not read. Shingles are compared by 63-bit hashes.
     """
-    spark = docs.sparkSession
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text"))
+    with arrow_rows(docs.sparkSession, join.batch_rows):  # every step that runs Python is written within
+        return _classes(texts, id_col, join)
+
+
+def _classes(texts: DataFrame, id_col: str, join: Join) -> DataFrame:
+    spark = texts.sparkSession
     sketch_schema = ", ".join(f"{s} long" for s in SKETCH_COLS)
     census = written(texts.mapInArrow(_census(join), f"kind int, a long, b long, c long, d long, {sketch_schema}, large array<long>"))
     large = census.where("kind = 0 and b > 0").select(F.col("a").alias("id"), F.col("b").alias("n"), "large")

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import smallest_hashes, text_of, written
+from docframe.llm.common import arrow_rows, smallest_hashes, text_of, written
 from docframe.llm.shingles import blocks
 
 
@@ -32,6 +32,7 @@ class Evidence:
     least_fit: float = 4.0
     host_weight: float = 20.0
     suffix_weight: float = 200.0
+    batch_rows: int = 1024
 
 
 def _lowered() -> np.ndarray:
@@ -162,7 +163,8 @@ def identify(docs: DataFrame, sites: DataFrame, *, id_col: str = "doc_id", text_
     )
     scored = placed(scored)
     weight = F.least(F.col("n_grams"), F.lit(evidence.most_grams))
-    scored = written(scored.withColumn("share", _softmax(F.transform("mean", lambda m: m * weight))))
+    with arrow_rows(spark, evidence.batch_rows):
+        scored = written(scored.withColumn("share", _softmax(F.transform("mean", lambda m: m * weight))))
     n = len(langs)
     told = scored.where(F.col("letters") >= evidence.least_letters)
     places = written(told.groupBy("suffix", "host").agg(*_sums("share", n, "h"), F.count(F.lit(1)).alias("n_h")))

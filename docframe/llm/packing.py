@@ -165,6 +165,7 @@ def _packed(packing: Packing):
                     yield flush()
         if texts:
             _fill(ids, [r + end for r in tokens.encode(texts)], packing, window)
+        tokens.forget()
         window.finish()
         yield flush()
 
@@ -175,7 +176,7 @@ _loaded: dict = {}
 
 
 def _tokens(path: str):
-    """A Python worker keeps its tokenizer and the words it knows from task to task."""
+    """A Python worker keeps its tokenizer from task to task, but no words."""
     from docframe.llm.tokens import WordTokens
 
     if path not in _loaded:

@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text hashed at a time; a longer text is hashed alone.
-BLOCK = 1 << 20
+BLOCK = 1 << 18
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _STEP = np.uint64(6364136223846793005)
 _STEP_INVERSE = np.uint64(pow(6364136223846793005, -1, 1 << 64))
@@ -42,7 +42,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
         up, down = np.full(size, _STEP), np.full(size, _STEP_INVERSE)
         up[0] = down[0] = 1
         up, down = np.multiply.accumulate(up), np.multiply.accumulate(down)
-        if size > 4 * BLOCK:
+        if size > 8 * BLOCK:
             return up, down
         _powers["up"], _powers["down"] = up, down
     return _powers["up"], _powers["down"]

@@ -28,7 +28,7 @@ class WordTokens:
     the BPE model alone; all others are encoded by the whole tokenizer.
     """
 
-    def __init__(self, path: str, most_words: int = 600_000):
+    def __init__(self, path: str, most_words: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most_words = Tokenizer.from_file(path), most_words
@@ -101,3 +101,7 @@ class WordTokens:
             self.known = {w: self.known[w] for w in wanted if w in self.known}
         self._learn(new)
         return [b"".join([*map(self.known.__getitem__, words)]) for words in split]
+
+    def forget(self) -> None:
+        """Gives the caches' memory back."""
+        self.known, self.parts = {}, {}

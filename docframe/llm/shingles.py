@@ -94,6 +94,23 @@ def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(out)
 
 
+def run_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
+    """The hash of each run of n words, at a cost that doesn't grow with n."""
+    size = len(hashes)
+    if size < n:
+        return np.zeros(0, np.uint64)
+    up, down = _powers_to(size)
+    total = np.zeros(size + 1, np.uint64)
+    np.cumsum(hashes * up[:size], out=total[1:])
+    return mix((total[n:] - total[:-n]) * down[: size - n + 1])
+
+
+def word_ends(data: np.ndarray) -> np.ndarray:
+    """The byte after each word of one text."""
+    space = _SPACE[data]
+    return np.flatnonzero(~space & np.append(space[1:], True)) + 1 if len(data) else np.zeros(0, np.int64)
+
+
 def shingle_sets(texts: pa.Array, k: int = 5) -> Iterator[tuple[int, np.ndarray]]:
     """(index, sorted distinct hashes of the k-word shingles) of each text: with fewer words, its whole sequence as one;
     without words, empty. Hashes have 63 bits."""

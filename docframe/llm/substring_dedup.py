@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import text_of, written
-from docframe.llm.shingles import blocks, window_hashes, word_hashes
+from docframe.llm.common import arrow_rows, text_of, written
+from docframe.llm.shingles import blocks, run_hashes, window_hashes, word_ends, word_hashes
 
 
 @dataclass(frozen=True)
@@ -106,14 +106,35 @@ def chains(anchors: list[tuple[int, int]], passages: Passages) -> list[list[tupl
     return out
 
 
+def _regions(places: list[int], passages: Passages) -> tuple[list[int], list[int]]:
+    """Where the words of shared seeds at most `spread` apart begin and end, widened by what a window can hold besides
+    its seeds: any least_words equal words lie in one of them on both sides."""
+    starts, ends, room = [], [], passages.spread - 1
+    first = last = None
+    for p in [*places, None]:
+        if first is not None and (p is None or p - last > passages.spread):
+            if last + passages.k - first + 2 * room >= passages.least_words:
+                starts.append(max(0, first - room))
+                ends.append(last + passages.k + room)
+            first = None
+        first, last = p if first is None else first, p
+    return starts, ends
+
+
 def _chained(passages: Passages):
+    """A document's chains, and its regions in a row without rdoc."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: list[tuple] = []
             for doc, matches in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 by_ref: dict[int, list[tuple[int, int]]] = {}
                 for m in matches:
-                    by_ref.setdefault(m["rdoc"], []).append((m["pos"], m["rpos"]))
+                    if m["rdoc"] != doc:
+                        by_ref.setdefault(m["rdoc"], []).append((m["pos"], m["rpos"]))
+                starts, ends = _regions(sorted({m["pos"] for m in matches}), passages)
+                if starts:
+                    rows.append((doc, None, starts, ends))
                 for ref, anchors in by_ref.items():
                     if len(anchors) < 2:
                         continue
@@ -210,6 +231,86 @@ def _offsets(raw: bytes, first: int, last: int) -> tuple[int, int]:
     return before, before + len(raw[a:end].decode())
 
 
+WINDOWS = "doc_id long, start_word long, start_char long, end_char long, hash long"
+
+
+def _windowed(passages: Passages):
+    """A hash of each least_words words in a document's regions."""
+    size = passages.least_words
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for doc, starts, ends, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                data = np.frombuffer(text.encode(), np.uint8)
+                hashes, _, begins = word_hashes(data, np.array([0, len(data)]))
+                chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
+                begin, end = chars[begins], chars[word_ends(data)]
+                for a, z in zip(starts, ends, strict=True):
+                    found = run_hashes(hashes[a:z], size).view(np.int64)
+                    at = a + np.arange(len(found))
+                    if len(found):
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(np.full(len(found), doc)), pa.array(at), pa.array(begin[at]), pa.array(end[at + size - 1]), pa.array(found)], [c.split()[0] for c in WINDOWS.split(", ")]
+                        )
+
+    return run
+
+
+def uncovered(spans: list[tuple[int, int]], pos: np.ndarray, ref: np.ndarray, rpos: np.ndarray, size: int) -> list[tuple[int, int]]:
+    """Of a document's windows of `size` words (at pos, rising, with their first place) the runs (first and last index)
+    that spans (first word, end) leave uncovered: after them each window's words lie in a span or run at one of the
+    window's places at least, and each word of a window lies in one."""
+    breaks = np.flatnonzero((np.diff(pos) != 1) | (np.diff(ref) != 0) | (np.diff(rpos) != 1)) + 1
+    firsts, lasts = np.concatenate([[0], breaks]), np.concatenate([breaks, [len(pos)]]) - 1
+    covered, reach = np.zeros(int(pos[-1]) + size + 1, bool), np.zeros(int(pos[-1]) + 1, np.int64)
+    for a, z in spans:
+        covered[a:z] = True
+        if a < len(reach):
+            reach[a] = max(reach[a], z)
+    whole = np.maximum.accumulate(reach)[pos] >= pos + size
+    places = list(zip(ref.tolist(), rpos.tolist(), strict=True))
+    seen, out = {places[i] for i in np.flatnonzero(whole)}, []
+    for a, z in zip(firsts.tolist(), lasts.tolist(), strict=True):
+        own = places[a : z + 1]
+        if not seen.issuperset(own):
+            seen.update(own)
+            covered[pos[a] : pos[z] + size] = True
+            out.append((a, z))
+    ends = np.zeros(len(covered) + 1, np.int64)  # how many windows are open at each word
+    ends[pos] += 1
+    ends[pos + size] -= 1
+    need = np.flatnonzero((np.cumsum(ends)[:-1] > 0) & ~covered)
+    at = 0
+    while at < len(need):
+        i = int(np.searchsorted(pos, need[at], side="right")) - 1
+        run = int(np.searchsorted(firsts, i, side="right")) - 1
+        out.append((int(firsts[run]), int(lasts[run])))
+        at = int(np.searchsorted(need, pos[lasts[run]] + size))
+    return out
+
+
+def _settled(passages: Passages):
+    """The equal runs that a document's aligned passages leave uncovered."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["start_word", "start_char", "end_char", "rdoc", "rpos"]
+        for batch in batches:
+            rows: list[tuple] = []
+            for doc, windows, spans in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist(), strict=True):
+                held = windows.values
+                pos, a_char, z_char, ref, rpos = (held.field(held.type.get_field_index(c)).to_numpy() for c in names)
+                _, kept = np.unique(pos, return_index=True)
+                pos, a_char, z_char, ref, rpos = pos[kept], a_char[kept], z_char[kept], ref[kept], rpos[kept]
+                for a, z in uncovered([(x["start_word"], x["end_word"]) for x in spans or []], pos, ref, rpos, passages.least_words):
+                    n = pos[z] - pos[a] + passages.least_words
+                    rows.append((doc, ref[a], pos[a], n, rpos[a], n, 1.0, a_char[a], z_char[z]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
+            types = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+
+    return run
+
+
 def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", passages: Passages = Passages()) -> DataFrame:
     """One row for each passage of a document that another document (of a smaller id) has too: see SCHEMA. Words and
     code points count from 0; end_char is exclusive; of three documents with a passage the two later ones have rows.
@@ -219,16 +320,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     length, chained for each other document by a Fenwick tree, and chains are aligned word by word between their seeds
     and outwards from their ends.
 
+    What that leaves is matched exactly: each run of least_words words among shared seeds is hashed, and a run that lies
+    in no passage yet is matched with its first place, whichever document that is in. So the text of every least_words
+    equal words, and each of their words, lies in a row of every document but the first that has them. Passages without
+    least_words equal words in a row are found by their seeds' first places alone.
+
     Defined results: null text, and texts with fewer than least_words words, have no passages; a row of null id has
     none; rows of one id are one document; texts are compared with A-Z lowered; no rows give no rows; other columns are
     not read.
     """
     texts = docs.select(F.col(id_col).cast("long").alias("id"), text_of(text_col).alias("text")).where("id is not null")
     seeds = texts.mapInArrow(_seeds(passages), "seed long, doc long, pos int")
-    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
     # written, so that the join has exchanges of its own on both sides and a hot seed's rows can be split among tasks
     first = written(first.select("seed", F.col("first.doc").alias("rdoc"), F.col("first.pos").alias("rpos")))
-    matched = seeds.join(first, "seed").where("doc <> rdoc")
+    matched = seeds.join(first, "seed")
     gathered = matched.groupBy("doc").agg(F.collect_list(F.struct("rdoc", "pos", "rpos")).alias("matches"))
     chained = written(gathered.mapInArrow(_chained(passages), "doc long, rdoc long, at array<int>, rat array<int>"))
     dealt = texts.repartition("id")  # one exchange of the texts, read from both sides
@@ -236,6 +342,18 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     start = F.greatest(F.element_at("rat", 1) - room, F.lit(0))
     inner = F.split(F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(inner, start + 1, F.element_at("rat", -1) + passages.k + room - start), " ")
-    with_ref = chained.join(dealt.withColumnRenamed("id", "rdoc"), "rdoc").select("doc", "rdoc", "at", "rat", start.alias("rfrom"), cut.alias("ref"))
+    with_ref = chained.where("rdoc is not null").join(dealt.withColumnRenamed("id", "rdoc"), "rdoc").select("doc", "rdoc", "at", "rat", start.alias("rfrom"), cut.alias("ref"))
     both = with_ref.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "rdoc", "at", "rat", "rfrom", "ref", "text")
-    return both.mapInArrow(_aligned(passages), SCHEMA)
+    regions = chained.where("rdoc is null").select("doc", "at", "rat")
+    windows = regions.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "at", "rat", "text").mapInArrow(_windowed(passages), WINDOWS)
+    # in one job, so that the texts' exchange serves both
+    found = written(both.mapInArrow(_aligned(passages), SCHEMA).unionByName(windows, allowMissingColumns=True))
+    aligned, windows = found.where("hash is null").drop("hash"), found.where("hash is not null").select(*[c.split()[0] for c in WINDOWS.split(", ")])
+    first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
+    first = written(first.select("hash", F.col("first.doc_id").alias("rdoc"), F.col("first.start_word").alias("rpos")))
+    later = windows.join(first, "hash").where("doc_id <> rdoc").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "start_char", "end_char", "rdoc", "rpos")).alias("windows"))
+    spans = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))).alias("spans"))
+    rest = later.join(spans, "doc_id", "left").select("doc_id", "windows", "spans")
+    with arrow_rows(docs.sparkSession, 256):
+        rest = written(rest.mapInArrow(_settled(passages), SCHEMA))
+    return aligned.unionByName(rest)

@@ -231,6 +231,79 @@ def test_passages_planted_and_clean(spark):
     assert substring_dedup.repeats(empty_docs(spark)).count() == 0
 
 
+def uncovered_windows(texts, rows, size=50):
+    """Windows of `size` words that a smaller id has too: those whose text lies in no row, and words in no row."""
+    texts = {i: t.lower().split() for i, t in texts.items()}
+    owner, lost = {}, []
+    for i in sorted(texts):
+        for k in range(len(texts[i]) - size + 1):
+            owner.setdefault(tuple(texts[i][k : k + size]), i)
+    for i, words in texts.items():
+        spans = [(r["start_word"], r["start_word"] + r["n_words"]) for r in rows if r["doc_id"] == i]
+        covered = {w for a, z in spans for w in range(a, z)}
+        whole = {tuple(words[k : k + size]) for a, z in spans for k in range(a, z - size + 1)}
+        for k in range(len(words) - size + 1):
+            window = tuple(words[k : k + size])
+            if owner[window] < i and (window not in whole or not covered.issuperset(range(k, k + size))):
+                lost.append((i, k))
+    return lost
+
+
+def passage_rows(spark, texts):
+    rows = [r.asDict() for r in substring_dedup.repeats(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()]
+    for r in rows:
+        words = texts[r["doc_id"]][r["start_char"] : r["end_char"]].split()
+        assert len(words) == r["n_words"] and words == texts[r["doc_id"]].split()[r["start_word"] :][: r["n_words"]]
+        if r["similarity"] == 1:
+            other = texts[r["other_id"]].lower().split()[r["other_start_word"] :][: r["other_n_words"]]
+            assert [w.lower() for w in words] == other
+    return rows
+
+
+def fresh_words(name, n):
+    return " ".join(f"é{name}{k}" for k in range(n))
+
+
+def test_passages_whose_first_places_are_elsewhere(spark):
+    p = prose(60, 80).split()
+    part = lambda i, a, z: f"{fresh_words(f'x{i}', 30)} {' '.join(p[a:z])} {fresh_words(f'y{i}', 30)}"
+    texts = {11: part(11, 0, 42), 12: part(12, 38, 80), 13: part(13, 0, 80), 14: part(14, 0, 80)}
+    rows = passage_rows(spark, texts)
+    assert (14, 13, 80) in {(r["doc_id"], r["other_id"], r["n_words"]) for r in rows}
+    assert uncovered_windows(texts, rows) == []
+
+
+def test_passages_with_a_period(spark):
+    line = "one line of seven words comes again "
+    texts = {
+        1: fresh_words("a", 20) + " no" * 70 + " " + fresh_words("b", 20), 2: "no " * 200 + fresh_words("c", 9), 3: fresh_words("d", 40) + " " + line * 12, 4: line * 40 + fresh_words("e", 3),
+        5: "no " * 300,
+    }
+    rows = passage_rows(spark, texts)
+    assert {r["doc_id"] for r in rows} == {2, 4, 5}
+    assert uncovered_windows(texts, rows) == []
+
+
+def test_passages_cover_each_repeated_window(spark):
+    rng = random.Random(8)
+    pool = [prose(70 + k, 120).split() for k in range(6)] + [["la"] * 90, ["do", "re", "mi"] * 40]
+    texts = {}
+    for i in range(60):
+        parts = []
+        for _ in range(rng.randrange(1, 5)):
+            p = rng.choice(pool)
+            a = rng.randrange(0, len(p) - 50)
+            parts += p[a : a + rng.randrange(30, 100)]
+            parts += fresh_words(f"n{i}x{len(parts)}z", rng.randrange(0, 60)).split()
+        texts[i] = " ".join(parts)
+    assert uncovered_windows(texts, passage_rows(spark, texts)) == []
+
+
+def test_passages_cover_the_documents(spark, sf_dir):
+    texts = {r["doc_id"]: r["text"] for r in Q.table(spark, sf_dir, "documents").collect()}
+    assert uncovered_windows(texts, Q.op8_substring_dedup(spark, sf_dir).collect()) == []
+
+
 def test_chains_rise_on_both_sides():
     anchors = [(0, 10), (5, 15), (10, 20), (12, 3), (15, 25)]
     best = substring_dedup.chains(anchors, substring_dedup.Passages())[0]

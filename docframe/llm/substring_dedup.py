@@ -186,6 +186,34 @@ def _grown(a: list, b: list, i: int, j: int, step: int, drop: int) -> tuple[int,
     return best, best_hits
 
 
+def _accepted(words: list, ref: list, at: list[int], rat: list[int], passages: Passages) -> list[tuple[int, int, int, int, int]]:
+    """The passages (first, last, first and last of ref, matches) of a chain: the whole of it if that is equal enough,
+    else those of its parts before and after the step with the most unequal words."""
+    k, steps = passages.k, []
+    for p, q, p2, q2 in zip(at, rat, at[1:], rat[1:], strict=False):
+        if p2 - p == q2 - q and words[p:p2] == ref[q:q2]:
+            steps.append((p2 - p, 0))
+        else:
+            step = min(k, p2 - p, q2 - q)
+            hits = step + _matches(words[p + step : p2], ref[q + step : q2])
+            steps.append((hits, max(p2 - p, q2 - q) - hits))
+    out, todo = [], [(0, len(at) - 1)]
+    while todo:
+        a, z = todo.pop()
+        left, more_left = _grown(words, ref, at[a] - 1, rat[a] - 1, -1, passages.drop)
+        right, more_right = _grown(words, ref, at[z] + k, rat[z] + k, 1, passages.drop)
+        hits = more_left + sum(h for h, _ in steps[a:z]) + k + more_right
+        first, last, ref_first, ref_last = at[a] - left, at[z] + k + right, rat[a] - left, rat[z] + k + right
+        n, n_ref = last - first, ref_last - ref_first
+        if min(n, n_ref) >= passages.least_words and 100 * hits >= passages.least_percent * max(n, n_ref):
+            out.append((first, last, ref_first, ref_last, hits))
+        elif a < z and max(n, n_ref) >= passages.least_words:
+            cut = max(range(a, z), key=lambda i: (steps[i][1], -i))
+            if steps[cut][1]:
+                todo += [(cut + 1, z), (a, cut)]
+    return out
+
+
 def _aligned(passages: Passages):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,20 +225,9 @@ def _aligned(passages: Passages):
                     words, raw = _words(text_of_doc)
                 ref, k, base = r["ref"].encode().lower().split(), passages.k, r["rfrom"]
                 at, rat = r["at"], [x - base for x in r["rat"]]
-                left, hits = _grown(words, ref, at[0] - 1, rat[0] - 1, -1, passages.drop)
-                for (p, q), (p2, q2) in zip(zip(at, rat, strict=True), [*zip(at[1:], rat[1:], strict=True), (None, None)], strict=True):
-                    if p2 is None:
-                        hits += k
-                    elif p2 - p == q2 - q and words[p:p2] == ref[q:q2]:
-                        hits += p2 - p
-                    else:
-                        step = min(k, p2 - p, q2 - q)
-                        hits += step + _matches(words[p + step : p2], ref[q + step : q2])
-                right, more = _grown(words, ref, at[-1] + k, rat[-1] + k, 1, passages.drop)
-                first, last, hits = at[0] - left, at[-1] + k + right, hits + more
-                n, n_ref = last - first, rat[-1] - rat[0] + k + left + right
-                if min(n, n_ref) >= passages.least_words and 100 * hits >= passages.least_percent * max(n, n_ref):
-                    rows.append((r["doc"], r["rdoc"], first, n, rat[0] - left + base, n_ref, hits / max(n, n_ref), *_offsets(raw, first, last)))
+                for first, last, ref_first, ref_last, hits in _accepted(words, ref, at, rat, passages):
+                    n, n_ref = last - first, ref_last - ref_first
+                    rows.append((r["doc"], r["rdoc"], first, n, ref_first + base, n_ref, hits / max(n, n_ref), *_offsets(raw, first, last)))
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
             types = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
@@ -318,7 +335,7 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     Each seed's first place (smallest id, then position) is what its other places are matched with, so that a passage of
     n documents has n - 1 matches, not all pairs. A document's matches are gathered in its own row, bounded by its
     length, chained for each other document by a Fenwick tree, and chains are aligned word by word between their seeds
-    and outwards from their ends.
+    and outwards from their ends; one that isn't equal enough is split.
 
     What that leaves is matched exactly: each run of least_words words among shared seeds is hashed, and a run that lies
     in no passage yet is matched with its first place, whichever document that is in. So the text of every least_words

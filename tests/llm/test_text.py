@@ -284,6 +284,19 @@ def test_passages_with_a_period(spark):
     assert uncovered_windows(texts, rows) == []
 
 
+@pytest.mark.parametrize("between", [1, 40, 100, 400, 900])
+def test_passages_apart_and_beside_a_stray_seed(spark, between):
+    one, two, stray = prose(61, 60), prose(62, 60).split(), "stray words that are shared"
+    two[20], edited = "edit", " ".join(two)
+    two = prose(62, 60)
+    texts = {1: f"{one} {fresh_words('g', between)} {two} {fresh_words('k', between)} {stray}", 2: f"{one} {fresh_words('h', between)} {two} {fresh_words('l', between)} {stray}"}
+    texts[3] = f"{one} {fresh_words('m', between)} {edited}"
+    rows = passage_rows(spark, texts)
+    assert uncovered_windows(texts, rows) == []
+    # the edited one has no 50 equal words
+    assert any(r["doc_id"] == 3 and r["start_word"] + r["n_words"] >= 60 + between + 58 for r in rows)
+
+
 def test_passages_cover_each_repeated_window(spark):
     rng = random.Random(8)
     pool = [prose(70 + k, 120).split() for k in range(6)] + [["la"] * 90, ["do", "re", "mi"] * 40]

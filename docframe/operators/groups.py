@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
@@ -84,14 +86,36 @@ def top_k_of_each(df: DataFrame, keys: list[str], order_by: list[Column], k: int
     return df.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(*order_by))).where(F.col("_rank") <= k).drop("_rank")
 
 
-def fold(df: DataFrame, keys: list[str], order_by: list[str], step: Callable, start: Callable[[], object], finish: Callable[[object], dict], schema: str) -> DataFrame:
-    """An ordered fold of each key's rows by Python code: step(state, row) -> state, row as a dict; finish gives the
-    columns beside the keys. For reductions that depend on the order; a key's rows are in memory together."""
+def fold_rows(df: DataFrame, keys: list[str], order_by: list[str], step: Callable, start: Callable[[], object], finish: Callable[[object], list[dict]], schema: str, most_rows: int = 1000) -> DataFrame:
+    """An ordered fold of each key's rows by Python code: step(state, row) -> state, row as a dict of plain values, null
+    as None and last in the order; finish gives the key's rows, without the keys. Spark sorts the rows, and a task reads
+    them as a stream: only one key's state and one batch are in memory, however many rows a key has."""
+    out = to_arrow_schema(StructType.fromDDL(schema))
+
+    def same(a: tuple, b: tuple) -> bool:
+        return all(x == y or (x != x and y != y) for x, y in zip(a, b, strict=True))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, state, rows = None, None, []
+        for batch in batches:
+            for row in batch.to_pylist():
+                own = tuple(row[k] for k in keys)
+                if key is None or not same(own, key):
+                    if key is not None:
+                        rows += [dict(zip(keys, key, strict=True)) | x for x in finish(state)]
+                    key, state = own, start()
+                    if len(rows) >= most_rows:
+                        yield pa.RecordBatch.from_pylist(rows, schema=out)
+                        rows = []
+                state = step(state, row)
+        if key is not None:
+            rows += [dict(zip(keys, key, strict=True)) | x for x in finish(state)]
+        yield pa.RecordBatch.from_pylist(rows, schema=out)
+
+    ordered = df.repartition(*keys).sortWithinPartitions(*keys, *[F.asc_nulls_last(c) for c in order_by])
+    return ordered.mapInArrow(run, schema)
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        state = start()
-        for row in rows.sort_values(order_by, kind="stable").to_dict("records"):
-            state = step(state, row)
-        return pd.DataFrame([dict(zip(keys, key, strict=True)) | finish(state)])
 
-    return df.groupBy(*keys).applyInPandas(run, schema)
+def fold(df: DataFrame, keys: list[str], order_by: list[str], step: Callable, start: Callable[[], object], finish: Callable[[object], dict], schema: str) -> DataFrame:
+    """fold_rows with one row of each key: finish gives the columns beside the keys."""
+    return fold_rows(df, keys, order_by, step, start, lambda state: [finish(state)], schema)

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from docframe.functions.strings import contains_any_case
+from docframe.operators import groups
 
 LIMIT = 200
 ITEM = "user string, place long, expr string, is_favorite boolean, name string"
@@ -34,15 +34,16 @@ def apply_event(items: list[dict], action: str, expr: str, name: str | None, lim
 
 def fold_history(events: DataFrame, limit: int = LIMIT) -> DataFrame:
     """events: (user, seq, action, expr, name). Each user's list after all events in the order of seq; users are folded
-    apart, and a state has `limit` items at most."""
+    apart, a user's events are read as a stream, and a state has `limit` items at most."""
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        items: list[dict] = []
-        for r in rows.sort_values("seq", kind="stable").itertuples(index=False):
-            items = apply_event(items, r.action, r.expr, r.name, limit)
-        return pd.DataFrame([(key[0], i, x["expr"], x["is_favorite"], x["name"]) for i, x in enumerate(items)], columns=["user", "place", "expr", "is_favorite", "name"])
+    def step(items: list[dict], r: dict) -> list[dict]:
+        return apply_event(items, r["action"], r["expr"], r["name"], limit)
 
-    return events.select(F.col("user").cast("string").alias("user"), "seq", "action", "expr", "name").groupBy("user").applyInPandas(run, ITEM)
+    def finish(items: list[dict]) -> list[dict]:
+        return [x | {"place": i} for i, x in enumerate(items)]
+
+    rows = events.select(F.col("user").cast("string").alias("user"), "seq", "action", "expr", "name")
+    return groups.fold_rows(rows, ["user"], ["seq"], step, list, finish, ITEM)
 
 
 def push_only(events: DataFrame, limit: int = LIMIT) -> DataFrame:

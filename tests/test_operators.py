@@ -72,6 +72,16 @@ def test_groups_fold(spark):
     assert {r["k"]: r["v"] for r in got.collect()} == {"a": 75, "b": 1}
 
 
+def test_groups_fold_holds_no_group(spark):
+    n = 60_000  # more than one Arrow batch of one key
+    df = spark.range(n).select(F.when(F.col("id") % 3 > 0, F.lit("hot")).otherwise(F.when(F.col("id") % 2 == 0, F.lit("b"))).alias("k"), (-F.col("id")).alias("o"), F.when(F.col("id") > 0, F.col("id")).alias("x"))
+    # step must take a null as None, the last in order, and ints as ints
+    got = groups.fold(df, ["k"], ["o"], lambda s, r: (s[0] + 1, r["x"]), lambda: (0, 0), lambda s: {"n": s[0], "last": s[1]}, "k string, n long, last long")
+    assert {r["k"]: (r["n"], r["last"]) for r in got.collect()} == {"hot": (n // 3 * 2, 1), "b": (n // 6, None), None: (n // 6, 3)}
+    plan = got._jdf.queryExecution().toString()
+    assert "MapInArrow" in plan and "FlatMapGroups" not in plan
+
+
 EVENTS = "user string, seq long, action string, expr string, name string"
 
 

@@ -77,7 +77,8 @@ def signs_of(text: str) -> np.ndarray:
 class Training:
     """Labelled spans: those of at most most_docs documents with a trigger and at most most_chars characters (the smallest
     hashes of the id), and `made`
-    ones that a rule writes into plain words, in forms that the patterns don't have."""
+    ones that a rule writes into plain words, in forms that the patterns don't have. Of a text at most most_each windows
+    are drawn, from anywhere in it, and of all at most most_windows."""
 
     most_docs: int = 200
     most_chars: int = 20_000
@@ -85,6 +86,8 @@ class Training:
     window: int = 64
     hidden: int = 16
     epochs: int = 10
+    most_each: int = 24
+    most_windows: int = 2000
 
 
 def _made(n: int, seed: int = 11) -> list[tuple[str, list[tuple[str, int, int]]]]:
@@ -132,12 +135,16 @@ def _windows(text: str, size: int) -> list[int]:
 
 def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]], training: Training = Training()) -> Tagger:
     xs, ys, size = [], [], training.window
+    rng = np.random.default_rng(3)
     for text, spans in labelled:
         signs, labels = signs_of(text), np.zeros(len(text), np.int64)
         for kind, a, b in spans:
             k = KINDS.index(kind)
             labels[a], labels[a + 1 : b] = 1 + 2 * k, 2 + 2 * k
-        for at in _windows(text, size)[:24]:
+        starts = _windows(text, size)
+        if len(starts) > training.most_each:
+            starts = sorted(rng.choice(starts, training.most_each, replace=False).tolist())
+        for at in starts:
             x, y = np.full(size, len(_OWN)), np.zeros(size, np.int64)
             own = signs[at : at + size]
             x[: len(own)], y[: len(own)] = own, labels[at : at + size]
@@ -146,24 +153,29 @@ def trained(labelled: list[tuple[str, list[tuple[str, int, int]]]], training: Tr
     banned = [(a, 2 + 2 * k) for k in range(len(KINDS)) for a in range(LABELS) if a not in (1 + 2 * k, 2 + 2 * k)]
     tagger = Tagger(SIGNS, LABELS, training.hidden, banned)
     if xs:
-        order = np.random.default_rng(1).permutation(len(xs))[:2000]
+        order = np.random.default_rng(1).permutation(len(xs))[: training.most_windows]
         tagger.train(np.array(xs)[order], np.array(ys)[order], training.epochs)
     return tagger
 
 
+_DATE = re.compile(r"([0-9]{4}[ .-][0-9]{1,2}[ .-][0-9]{1,2}|[0-9]{1,2}[ .-][0-9]{1,2}[ .-][0-9]{4})(?![0-9])|[0-9]{4}-[0-9]{2}-[0-9]{2}")
+
+
 def _plausible(kind: str, span: str, before: str, after: str) -> bool:
-    """What a span of a kind must be, whatever the tagger says."""
-    if before.isalnum() or after.isalnum():
+    """What a span of a kind must be, whatever the tagger says; before and after: the two characters on either side."""
+    if before[-1:].isalnum() or after[:1].isalnum():
         return False
     digits = re.sub("[^0-9]", "", span)
+    # a dot between digits goes on with a version or a decimal; one at the end of a sentence doesn't
+    inside = bool(re.search(r"[0-9]\.\Z", before) or re.match(r"\.[0-9]", after))
     if kind == "email":
         return bool(re.fullmatch(r"[^\s@]+@[^\s@.]+(\.[^\s@.]+)+", span))
     if kind == "card":
         return bool(re.fullmatch(r"[0-9 ./-]+", span)) and 13 <= len(digits) <= 19 and luhn(digits) and len(set(digits)) > 2
     if kind == "phone":
-        shaped = re.fullmatch(r"(00|\()?[0-9][0-9 ().-]{8,20}[0-9]", span) and re.search("[ ().-]", span)
-        return bool(shaped) and 10 <= len(digits) <= 15 and not re.match(r"[0-9]{4}-[0-9]{2}-[0-9]{2}", span) and "." not in (before, after)
-    return False
+        shaped = re.fullmatch(r"(00|\()?[0-9][0-9 ().-]{6,20}[0-9]", span) and (len(digits) >= 10 or re.search("[ ().-]", span))
+        return bool(shaped) and 8 <= len(digits) <= 15 and not _DATE.match(span) and not inside
+    return bool(re.fullmatch(r"[0-9]{1,3}(\.[0-9]{1,3}){3}", span)) and all(int(x) <= 255 for x in span.split(".")) and not inside
 
 
 def _added(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tagger, size: int) -> list[list[tuple[str, int, int]]]:
@@ -205,7 +217,7 @@ def _added(texts: list[str], base: list[list[tuple[str, int, int]]], tagger: Tag
             while a < b and text[b - 1] in " .-,(":
                 b -= 1
             clear = all(b <= c or d <= a for c, d in taken)
-            if a < b and clear and _plausible(KINDS[k], text[a:b], text[a - 1 : a], text[b : b + 1]):
+            if a < b and clear and _plausible(KINDS[k], text[a:b], text[max(0, a - 2) : a], text[b : b + 2]):
                 out[i].append((KINDS[k], a, b))
     return out
 

@@ -120,6 +120,23 @@ def test_pii_tagger_adds_spans_and_spares_clean_text():
     assert pii._added(clean, [[] for _ in clean], tagger, 64) == [[] for _ in clean]
 
 
+def test_pii_plausible_beside_dots():
+    assert pii._plausible("phone", "555-123-4567", "l ", ".") and pii._plausible("phone", "555-123-4567", "l ", ". ")
+    assert not pii._plausible("phone", "555-123-4567", "l ", ".8") and not pii._plausible("phone", "555-123-4567", "2.", " ")
+    assert pii._plausible("phone", "5551234567", " ", " ") and pii._plausible("phone", "0221 45678", " ", " ")
+    assert pii._plausible("ip", "10.0.0.7", " ", ".") and not pii._plausible("ip", "10.0.0.7", " ", ".1") and not pii._plausible("ip", "10.0.0.700", " ", "")
+    assert not any(pii._plausible("phone", d, " ", " ") for d in ("2024-10-12", "12.10.2024", "10-12-2024", "12345678"))
+
+
+def test_pii_training_draws_from_whole_texts(monkeypatch):
+    seen = []
+    monkeypatch.setattr(pii.Tagger, "train", lambda self, x, y, epochs: seen.append((len(x), (y > 0).any())))
+    late = "1 " * 6000 + "mail a.b@c.de " * 3000
+    pii.trained([(late, pii.base_spans(late))])
+    pii.trained([("1 " * 500, [])] * 9, pii.Training(most_each=5, most_windows=30))
+    assert seen == [(24, True), (30, False)]
+
+
 def test_pii_rows(spark):
     text = "x" * 100 + " mail a.b@c.de, \U0001f600 1.2.3.4 or +1 (555) 123-4567"
     docs = awkward_docs(spark).select("doc_id", "text").unionByName(spark.createDataFrame([(50, text)], "doc_id long, text string"))

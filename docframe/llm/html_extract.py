@@ -27,12 +27,16 @@ BOILERPLATE = frozenset(
     "signup sidebar sidenav side rail widget widgets menu nav navbar navigation topnav breadcrumb breadcrumbs footer foot masthead topbar toolbar comment comments commentlist disqus discussion replies reply respond "
     "share sharing social related recommended recommendations login search searchbox pagination pager skip toc hidden complementary contentinfo".split()
 )
+#: Words that say nothing beside a boilerplate one, as in site-footer or widget-area.
+PLAIN = frozenset("site page wrapper wrap area box container list block section bar inner outer global primary secondary left right top bottom".split())
 ARTICLE = frozenset("article articlebody main".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
-_HIDDEN = re.compile(r"\bhidden\b(?!\s*=)|display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
+_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_HIDDEN = re.compile(r"(?<![\w=-])hidden(?![\w-])", re.I)
+_UNSEEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 
 
 @dataclass
@@ -42,6 +46,7 @@ class Node:
     path: str
     dropped: bool
     main: bool
+    named: bool = False  # boilerplate by its names alone
     good: int = 0
 
 
@@ -53,21 +58,34 @@ class Page:
     blocks: list[tuple[int, str, bool]] = field(default_factory=list)
 
 
-def _described(tag: str, attributes: str) -> tuple[str, frozenset, bool]:
-    """The generalised step of a path (tag and classes, digits as 0), the words of its names, and whether it is hidden."""
-    words, classes = set(), ""
+def _boilerplate(token: str) -> bool:
+    """Whether one class, id or role is a boilerplate word, or made of such and plain ones."""
+    parts = [w.lower() for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", token))]
+    if "".join(parts) in BOILERPLATE:
+        return True
+    return bool(parts) and parts[0] != "has" and all(w in BOILERPLATE or w in PLAIN for w in parts) and any(w in BOILERPLATE for w in parts)
+
+
+def _described(tag: str, attributes: str) -> tuple[str, frozenset, bool, bool]:
+    """The generalised step of a path (tag and classes, digits as 0), the words of its names, whether one of them is
+    boilerplate as a whole, and whether it is hidden. A heading's id is a place to link to."""
+    words, classes, boilerplate = set(), "", False
     if attributes:
         for m in _NAMES.finditer(attributes):
             value = m[2] or m[3] or m[4] or ""
             spaced = re.sub(r"([a-z])([A-Z])", r"\1 \2", value)
             words.update(w.lower() for w in _WORD.findall(spaced))
             words.add(re.sub(r"[^a-z]", "", value.lower()))
+            if not (tag in HEADINGS and m[1].lower() == "id"):
+                boilerplate = boilerplate or any(_boilerplate(t) for t in value.split())
             if m[1].lower() == "class":
                 classes = ".".join(sorted(re.sub(r"\d+", "0", value).split()))
-    return f"{tag}.{classes}" if classes else tag, frozenset(words), bool(attributes and _HIDDEN.search(attributes))
+    hidden = bool(attributes and (_UNSEEN.search(attributes) or _HIDDEN.search(_QUOTED.sub("", attributes))))
+    return f"{tag}.{classes}" if classes else tag, frozenset(words), boilerplate, hidden
 
 
-def parsed(html: str) -> Page:
+def parsed(html: str, share: float = 0.8) -> Page:
+    """An element with boilerplate names alone is dropped unless it has `share` of the page's unlinked text."""
     page = Page([Node("", -1, "", False, False)])
     stack: list[tuple[str, int]] = [("", 0)]  # open elements with their container
     text: list[str] = []
@@ -79,7 +97,7 @@ def parsed(html: str) -> Page:
         if text:
             block = " ".join(unescape("".join(text)).split())
             node = stack[-1][1]
-            if block and not page.nodes[node].dropped:
+            if block and not page.nodes[node].dropped:  # what is dropped by name is settled below
                 page.blocks.append((node, block, 2 * linked > total))
             text.clear()
             linked = total = 0
@@ -131,27 +149,41 @@ def parsed(html: str) -> Page:
             links += 1
         up = stack[-1][1]
         if tag in BLOCKS:
-            step, words, hidden = _described(tag, m[3])
+            step, words, boilerplate, hidden = _described(tag, m[3])
             parent = page.nodes[up]
             whole = tag in ("html", "body")
             # a header inside the article has the article's title
             header = (tag == "header" or "header" in words) and not parent.main and tag not in HEADINGS
-            dropped = parent.dropped or tag in DROPPED or (not whole and not (words & ARTICLE and tag in ("article", "main")) and bool(words & BOILERPLATE or hidden or header))
-            if tag in CONTAINERS or dropped != parent.dropped:
+            dropped = parent.dropped or tag in DROPPED or (not whole and (hidden or header))
+            named = boilerplate and not dropped and not whole and tag not in ("article", "main")
+            if tag in CONTAINERS or dropped != parent.dropped or named:
                 main = parent.main or tag in ("article", "main") or bool(words & {"articlebody", "main", "article"})
-                page.nodes.append(Node(tag, up, f"{parent.path}/{step}", dropped, main))
+                page.nodes.append(Node(tag, up, f"{parent.path}/{step}", dropped, main, named))
                 up = len(page.nodes) - 1
         stack.append((tag, up))
     if at < len(html):
         tail = html[at:]
         text.append(tail[: tail.index("<")] if "<" in tail and re.match(r"<[a-zA-Z/!]", tail[tail.index("<") :]) else tail)
     close_block()
+    _count(page)
+    if any(n.named for n in page.nodes):
+        whole = page.nodes[0].good
+        for n in page.nodes:
+            n.dropped = n.dropped or (n.up >= 0 and page.nodes[n.up].dropped) or (n.named and n.good < share * whole)
+        page.blocks = [b for b in page.blocks if not page.nodes[b[0]].dropped]
+        _count(page)
+    return page
+
+
+def _count(page: Page) -> None:
+    """The characters of unlinked blocks in each container."""
+    for n in page.nodes:
+        n.good = 0
     for node, block, link in page.blocks:
         if not link:
             while node >= 0:
                 page.nodes[node].good += len(block)
                 node = page.nodes[node].up
-    return page
 
 
 def best(page: Page, share: float = 0.8) -> int:
@@ -170,10 +202,11 @@ def best(page: Page, share: float = 0.8) -> int:
     return at
 
 
-def text_in(page: Page, container: int) -> str:
+def text_in(page: Page, *containers: int) -> str:
+    """The containers' blocks in page order."""
     inside = [False] * len(page.nodes)
     for i, n in enumerate(page.nodes):
-        inside[i] = i == container or (n.up >= 0 and inside[n.up])
+        inside[i] = i in containers or (n.up >= 0 and inside[n.up])
     return "\n".join(block for node, block, _ in page.blocks if inside[node])
 
 
@@ -194,7 +227,7 @@ def _extracts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
             page = parsed(html)
             same = [i for i, n in enumerate(page.nodes) if path and n.path == path and not n.dropped and n.good]
-            texts.append(text_in(page, max(same, key=lambda i: page.nodes[i].good) if same else best(page)))
+            texts.append(text_in(page, *(same or [best(page)])))
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string())], ["page_id", "url", "text"])
 
 
@@ -207,7 +240,7 @@ def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url",
 
     Each page votes for the generalised tag-class path of its best container; votes are counted by host with map-side
     partials. A path with least_votes pages and least_share of its host's is the host's: its pages are extracted again
-    by it where they have it, and otherwise by their own best container.
+    by it where they have it (all containers of that path, in page order), and otherwise by their own best container.
 
     Defined results: null html counts as empty, with text ''; a null url or one without a host belongs to the host '';
     repeated rows have a result each; no rows give no rows; other columns are not read; pages of any length are read

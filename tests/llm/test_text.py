@@ -367,6 +367,21 @@ def test_html_winning_path_beats_a_longer_block(spark):
     assert got[9] == "Short."
 
 
+@pytest.mark.parametrize("around", ["<article class='post overflow-hidden'>{}</article>", "<div class='has-sidebar'>{}</div>", "<div class='search'>{}</div>", "<article class='comment'>{}</article>"])
+def test_html_names_do_not_drop_an_article(around):
+    inner = f"<h2 id='search'>Search</h2><p>{prose(1, 50)}</p><section id='related-work'><p>{prose(2, 50)}</p></section>"
+    page = html_extract.parsed("<body>" + around.format(inner) + "<div class='site-footer widget'><p>Site.</p></div><div class='social-share' ><p>Tell.</p></div><div hidden><p>Gone</p></div></body>")
+    assert html_extract.text_in(page, html_extract.best(page)).split("\n") == ["Search", prose(1, 50), prose(2, 50)]
+    assert "Site." not in html_extract.text_in(page, 0) and "Tell." not in html_extract.text_in(page, 0) and "Gone" not in html_extract.text_in(page, 0)
+
+
+def test_html_all_containers_of_the_winning_path(spark):
+    page = "<body><div class='part'><p>{}</p></div><p>between</p><div class='part'><p>{}</p></div></body>"
+    pages = [(k, f"http://w.example/{k}", page.format(prose(k, 90), "Tail." if k < 6 else prose(k + 50, 60))) for k in range(7)]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got[6] == prose(6, 90) + "\n" + prose(56, 60) and got[0] == prose(0, 90) + "\nTail."
+
+
 def test_html_on_pages(spark, sf_dir):
     import html
 

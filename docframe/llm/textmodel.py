@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import SPACE, smallest_hashes, words_of, written
+from docframe.llm.common import SPACE, smallest_hashes, written
 
 
 @dataclass(frozen=True)
@@ -31,15 +32,40 @@ class Fit:
 EVERY = ""
 
 
-def features_of(text: Column) -> Column:
-    """Distinct features: lower-cased words, the shapes of words (letters and digits each as one sign), how often words
-    are repeated on the whole, and EVERY."""
-    words = words_of(F.lower(text))
-    shape = F.regexp_replace(F.regexp_replace(text, r"\p{L}+", "a"), r"\p{Nd}+", "9")
-    shapes = F.transform(F.array_distinct(F.split(shape, SPACE)), lambda s: F.concat(F.lit("shape "), s))
-    distinct = F.array_distinct(words)
-    repeats = F.concat(F.lit("repeats "), F.floor(F.log2(F.size(words) / F.greatest(F.size(distinct), F.lit(1)))).cast("string"))
-    return F.concat(distinct, shapes, F.array(F.coalesce(repeats, F.lit("repeats none")), F.lit(EVERY)))
+#: Bits of the filter that drops words which are no feature before they become rows.
+FILTER_BITS = 1 << 16
+
+
+def featured(docs: DataFrame, wanted: Callable[[Column], Column] | None = None) -> DataFrame:
+    """docs with the array `features` in place of text: distinct lower-cased words, the shapes of words (letters and
+    digits each as one sign), how often words are repeated on the whole, and EVERY. wanted leaves out words and shapes.
+    What is used twice has a projection of its own, so that it is computed once."""
+    keys = [c for c in docs.columns if c != "text"]
+    # the short class takes most letters; what it leaves is little
+    signs = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", "[a-zA-ZÀ-ÖØ-öø-ÿ]+", "a"), r"\p{L}+", "a"), r"\p{Nd}+", "9")
+    lowered = docs.select(*keys, F.lower("text").alias("_low"), F.split(signs, SPACE).alias("_shapes"))
+    words = lowered.select(*keys, F.array_remove(F.split("_low", SPACE), "").alias("_words"), "_shapes")
+    distinct = words.select(*keys, F.size("_words").alias("_n"), F.array_distinct("_words").alias("_words"), F.array_distinct("_shapes").alias("_shapes"))
+    repeats = F.concat(F.lit("repeats "), F.floor(F.log2(F.col("_n") / F.greatest(F.size("_words"), F.lit(1)))).cast("string"))
+    shapes = F.transform("_shapes", lambda s: F.concat(F.lit("shape "), s))
+    own = [F.col("_words"), shapes] if wanted is None else [F.filter("_words", wanted), F.filter(shapes, wanted)]
+    return distinct.select(*keys, F.concat(*own, F.array(F.coalesce(repeats, F.lit("repeats none")), F.lit(EVERY))).alias("features"))
+
+
+def _among(features: list[str], docs: DataFrame) -> Callable[[Column], Column]:
+    """Whether a word may be one of the features, by a bit of its hash: true for each that is one."""
+    size = FILTER_BITS
+    bits = [0] * (size // 64)
+    table = docs.sparkSession.createDataFrame([(f,) for f in features], "f string")
+    for r in table.select(F.pmod(F.xxhash64("f"), F.lit(size)).alias("at")).collect():
+        bits[r["at"] >> 6] |= 1 << (r["at"] & 63)
+    signed = ",".join(str(x - (1 << 64) if x >> 63 else x) for x in bits)
+
+    def test(word: Column) -> Column:
+        at = F.pmod(F.xxhash64(word), F.lit(size)).cast("int")
+        return F.getbit(F.get(F.split(F.lit(signed), ",").cast("array<bigint>"), F.shiftright(at, 6)), at.bitwiseAND(F.lit(63))) == 1
+
+    return test
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[DataFrame, dict[str, float], dict[str, float]]:
@@ -47,8 +73,7 @@ def fitted(docs: DataFrame, labels: DataFrame, fit: Fit = Fit()) -> tuple[DataFr
     features, each label's share of the labelled documents, and its evidence from a text without any of the features."""
     chosen = labels.where("id is not null and label is not null").groupBy("id").agg(F.min("label").alias("label"))
     chosen = smallest_hashes(chosen, "id", fit.most_rows)
-    rows = docs.join(F.broadcast(chosen), "id").select("label", features_of(F.col("text")).alias("features"))
-    rows = written(rows)
+    rows = written(featured(docs.join(F.broadcast(chosen), "id").select("label", "text")))
     sizes = {r["label"]: r["n"] for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     n = sum(sizes.values())
     found = written(rows.select("label", F.explode("features").alias("feature")).groupBy("feature").pivot("label", sorted(sizes)).count().na.fill(0))
@@ -80,8 +105,11 @@ def evidence(docs: DataFrame, weights: DataFrame, labels: list[str]) -> DataFram
     text's features, and `times`, how many rows of equal keys and text it stands for."""
     keys = [c for c in docs.columns if c != "text"]
     wide = weights.where(F.col("feature") != EVERY).groupBy("feature").agg(*[F.coalesce(F.sum(F.when(F.col("label") == k, F.col("weight"))), F.lit(0.0)).alias(f"w{i}") for i, k in enumerate(labels)])
+    # at most Fit.most_features of them
+    wanted = _among([r["feature"] for r in wide.select("feature").collect()], docs)
     wide = wide.unionByName(docs.sparkSession.createDataFrame([(EVERY, *[0.0] * len(labels))], wide.schema))
-    rows = docs.select(*keys, F.explode(features_of(F.col("text"))).alias("feature"))
+    # explode would add a test for empty arrays, which computes them twice
+    rows = featured(docs, wanted).select(*keys, F.explode_outer("features").alias("feature"))
     joined = rows.join(F.broadcast(wide), "feature")
     # each text has EVERY just once, so it tells how many times the row is there
     times = F.greatest(F.count_if(F.col("feature") == EVERY), F.lit(1))

@@ -23,7 +23,7 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@lru_cache(maxsize=1)
+@lru_cache(maxsize=2)
 def _bytes_table(lower: bool) -> np.ndarray:
     codes = np.arange(256, dtype=np.uint64)
     if lower:
@@ -68,6 +68,14 @@ def word_hashes(data: np.ndarray, bounds: np.ndarray, lower: bool = True) -> tup
     return hashes, np.searchsorted(first, bounds), first
 
 
+def run_sums(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The 64-bit hash of each run of bytes."""
+    up, down = _powers_to(len(data))
+    total = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_bytes_table(False)[data] * up[: len(data)], out=total[1:])
+    return mix((total[start + size] - total[start]) * down[start] + size.astype(np.uint64) * _ODD)
+
+
 def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """Cuts an Arrow string array into blocks of whole texts: the index of the first, the bytes, the bounds."""
     if isinstance(texts, pa.ChunkedArray):
@@ -85,6 +93,16 @@ def blocks(texts: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         at = to
 
 
+def text_words(texts: pa.Array, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The different words of each text, by `bits` bits of their hashes: the text's index, rising, the word, how often
+    it is there."""
+    for at, data, bounds in blocks(texts):
+        hashes, starts, _ = word_hashes(data, bounds)
+        owner = np.repeat(np.arange(len(bounds) - 1), np.diff(starts))
+        found, times = np.unique(owner << bits | (hashes >> np.uint64(64 - bits)).astype(np.int64), return_counts=True)
+        yield at + (found >> bits), found & ((1 << bits) - 1), times
+
+
 def window_hashes(hashes: np.ndarray, k: int) -> np.ndarray:
     """The hash of each run of k words; runs across texts are there too."""
     n = max(0, len(hashes) - k + 1)

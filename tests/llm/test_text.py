@@ -1,17 +1,19 @@
 """Language ID, packing, personal data, repeated passages, Jaccard join, HTML and the pipeline."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
 from fractions import Fraction
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from docframe.llm import components, html_extract, jaccard_join, language_id, packing, pii, substring_dedup
 from docframe.llm import queries as Q
-from docframe.llm.tokens import WordTokens
+from docframe.llm.tokens import BlockTokens
 from tests.llm.fixtures import awkward_docs, empty_docs, prose
 
 
@@ -74,21 +76,73 @@ def test_packing_edges(spark):
     assert packing.pack(empty_docs(spark)).count() == 0
 
 
-def test_word_tokens_equal_the_tokenizer():
-    import public_tokenizers
+def encoded(tokens, texts):
+    raws = [t.encode() for t in texts]
+    bounds = np.concatenate([[0], np.cumsum([len(r) for r in raws])])
+    ids, edges = tokens.encode(np.frombuffer(b"".join(raws), np.uint8), bounds)
+    return [ids[a:z].tolist() for a, z in zip(edges[:-1], edges[1:], strict=True)]
 
-    words = WordTokens(public_tokenizers.path("word_bpe_49k.json"), most_words=400)
-    rng, signs = random.Random(4), "abcXYZ 'éÉßİı Σσ .,!?-_<|>  \t\n0129²½ë中\U0001f600\x1c\x85́ſK<|endoftext|>"
-    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(2000)] + ["<|endoftext|>", "I'LL we'Re", ""]
-    for at in range(0, len(texts), 100):
-        part = texts[at : at + 100]
-        for t, ids in zip(part, words.encode([t.encode() for t in part]), strict=True):
-            assert np.frombuffer(ids, "<u4").tolist() == words.tokenizer.encode(t, add_special_tokens=False).ids
 
+@pytest.mark.parametrize("most_bytes", [1 << 22, 100])
+def test_block_tokens_equal_the_tokenizer(most_bytes):
+    import public_tokenizers
 
-def test_bm25_neighbours_share_rare_terms():
-    docs = [np.array(x) for x in ([1, 2, 3, 9], [1, 2, 8, 9], [1, 4, 5, 6], [7, 7, 3, 9], [10, 11, 12, 13], [14, 15, 16, 17], [18, 19, 20, 21])]
-    assert list(packing.Index(docs, packing.Packing()).neighbours(0)[:2]) in ([1, 3], [3, 1])
+    tokens = BlockTokens(public_tokenizers.path("word_bpe_49k.json"), most_bytes=most_bytes)
+    rng, signs = random.Random(4), "abcXYZ 'éÉßİı Σσ .,!?-_<|>  \t\n0129²½ë中\U0001f600\x1c\x85́ſK<|endoftext|>×÷ÀÖØÞ'srelvmdt¿¡«»"
+    texts = ["".join(rng.choice(signs) for _ in range(rng.randint(0, 60))) for _ in range(2000)]
+    texts += ["<|endoftext|>", "I'LL we'Re", "", "a'", "'s", "''s", "x's'd", "internationalization" * 4 + " abc", "'", "ab" * 5000]
+    for at in range(0, len(texts), 500):
+        part = texts[at : at + 500]
+        assert encoded(tokens, part) == [tokens.tokenizer.encode(t, add_special_tokens=False).ids for t in part]
+    assert encoded(tokens, []) == [] and encoded(tokens, ["", " "]) == [[], []]
+
+
+def corpus_of(texts):
+    df = np.zeros(1 << packing.BITS, np.int64)
+    found = list(packing.text_words(pa.array(texts), packing.BITS))
+    for _, word, _ in found:
+        df += np.bincount(word, minlength=1 << packing.BITS)
+    return packing.Corpus(df, len(texts), sum(int(t.sum()) for *_, t in found) / len(texts))
+
+
+def plain_bm25(texts, seed, p):
+    words = [t.lower().split() for t in texts]
+    mean, n = sum(map(len, words)) / len(words), len(words)
+    score = {}
+    for j, own in enumerate(words):
+        total = 0.0
+        for w in set(words[seed]) & set(own):
+            df, tf = sum(w in x for x in words), own.count(w)
+            total += math.log1p((n - df) / (df + 0.5)) * tf * (p.k1 + 1) / (tf + p.k1 * (1 - p.b + p.b * len(own) / mean))
+        if total > 0 and j != seed:
+            score[j] = total
+    return score
+
+
+def test_bm25_neighbours_against_plain_python():
+    texts = [prose(k, 20 + k) + f" rare{k % 7} rare{k % 5}x" for k in range(40)] + ["", prose(3, 23) + " rare3 rare3x"]
+    p = packing.Packing()
+    index = packing.Index(pa.array(texts), corpus_of(texts), p)
+    for seed in (0, 3, 17, 40):
+        want = plain_bm25(texts, seed, p)
+        got = index.neighbours(seed).tolist()
+        assert set(got) == set(want)
+        assert all(want[a] >= want[b] - 1e-9 for a, b in zip(got, got[1:], strict=False))
+
+
+def test_packing_deals_neighbours_together(spark, sf_dir):
+    """Of the best neighbour by an index over all documents, how often is it in the document's shard; dealing by a hash
+    would have it there as often as shards are parts of the whole."""
+    texts = {r["doc_id"]: r["text"] for r in Q.table(spark, sf_dir, "documents").collect()}
+    p = packing.Packing(shard_docs=20)
+    corpus = spark.sparkContext.broadcast(packing.corpus_counts(Q.table(spark, sf_dir, "documents")))
+    runs = packing.dealt(Q.table(spark, sf_dir, "documents"), corpus, packing=p).rdd.mapPartitionsWithIndex(lambda i, rows: [(i, [r["doc_id"] for r in rows])]).collect()
+    shard = {d: (i, k // 20) for i, own in runs for k, d in enumerate(own)}
+    assert shard.keys() == texts.keys()
+    ids = list(texts)
+    index = packing.Index(pa.array([texts[i] for i in ids]), corpus.value, p)
+    near = [(i, ids[index.neighbours(k)[0]]) for k, i in enumerate(ids) if len(index.neighbours(k))]
+    assert sum(shard[a] == shard[b] for a, b in near) / len(near) > 2 * 20 / len(ids)
 
 
 def plain_base(text):

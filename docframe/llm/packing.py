@@ -16,7 +16,7 @@ from docframe.llm.shingles import mix, text_words
 
 SCHEMA = "doc_id long, start long, length long, ids binary, doc_tokens long, sequence_id long, offset long"
 #: Words are told apart by so many bits of their hashes in the corpus's counts, which thus have a fixed size.
-BITS = 20
+BITS = 18
 #: Rows of the counts that stand for the documents and the words of the corpus.
 _DOCS, _WORDS = -1, -2
 _LAST = np.iinfo(np.int64).max

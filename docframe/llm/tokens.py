@@ -51,15 +51,17 @@ class BlockTokens:
     """Ids of all texts of a block.
 
     Words of ASCII and Latin-1 are lowered and cut into the pattern's pieces by the classes of their bytes; equal pieces
-    are met once, and byte pairs are merged in all different pieces side by side, each time the pair of the least rank,
+    are met once and kept, up to about most_pieces, and byte pairs are merged in all different pieces side by side, each time the pair of the least rank,
     the leftmost first. Words with other characters, or with a special token's opening, go to the tokenizer itself. A
     file of another kind than this is an error.
     """
 
-    def __init__(self, path: str, longest: int = 32, most_bytes: int = 4 << 20):
+    def __init__(self, path: str, longest: int = 32, most_bytes: int = 4 << 20, most_pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.longest, self.most_bytes = Tokenizer.from_file(path), longest, most_bytes
+        self.most_pieces = most_pieces
+        self._forget()
         spec = json.loads(self.tokenizer.to_str())
         normal = [n.get("type") for n in (spec.get("normalizer") or {}).get("normalizers", [])]
         steps = (spec.get("pre_tokenizer") or {}).get("pretokenizers", [])
@@ -121,18 +123,18 @@ class BlockTokens:
                 rows = np.arange(len(live))
                 if not len(live):
                     break
+            base = rows * width
             now[rows, at] = self.made[least]
-            move = places[None, :] + (places[None, :] > at[:, None])
-            last = move >= width
-            now = np.take_along_axis(now, np.minimum(move, width - 1), axis=1)
-            now[last] = -1
-            rank = np.take_along_axis(rank, np.minimum(move[:, :-1], width - 2), axis=1)
+            # what follows the pair moves up by one place
+            move = base[:, None] + places + (places > at[:, None])
+            now = np.append(now.ravel(), np.int32(-1))[move]
+            now[:, -1] = -1
+            rank = np.append(rank.ravel(), _NONE)[np.minimum(move[:, :-1] - rows[:, None], rank.size)] if width > 2 else np.full_like(rank, _NONE)
             rank[:, -1] = _NONE
             rank[rows, at] = self._ranks(now[rows, at], now[rows, at + 1])
-            before = at > 0
-            if before.any():
-                r, p = rows[before], at[before]
-                rank[r, p - 1] = self._ranks(now[r, p - 1], now[r, p])
+            before = np.flatnonzero(at)
+            p = at[before]
+            rank[before, p - 1] = self._ranks(now[before, p - 1], now[before, p])
         return s
 
     def _pieces_ids(self, data: np.ndarray, start: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -140,7 +142,7 @@ class BlockTokens:
         count = np.zeros(len(start), np.int64)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         low = 0
-        for width in (1, 4, 8, 12, 16, self.longest):
+        for width in sorted({*range(1, 13), 16, 24, self.longest}):
             own = np.flatnonzero((size > low) & (size <= width))
             low = width
             if not len(own):
@@ -183,6 +185,30 @@ class BlockTokens:
                 out[w] = own[own != self.mark]
         return [out[w] for w in words]
 
+    def _of_pieces(self, keys: np.ndarray, low: np.ndarray, data: np.ndarray, start: np.ndarray, size: np.ndarray, odd: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the ids of different pieces (of rising keys) begin in the pool, and how many they are. What is new is
+        added to the pool; beyond most_pieces it begins anew."""
+        if len(self.keys) > self.most_pieces:
+            self._forget()
+        place = np.minimum(np.searchsorted(self.keys, keys), max(0, len(self.keys) - 1))
+        known = self.keys[place] == keys if len(self.keys) else np.zeros(len(keys), bool)
+        at, count = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
+        at[known], count[known] = self.at[place[known]], self.count[place[known]]
+        plain, others = np.flatnonzero(~known & ~odd), np.flatnonzero(~known & odd)
+        plain_ids, count[plain] = self._pieces_ids(low, start[plain], size[plain])
+        odd_ids = self._odd_ids([data[start[k] : start[k] + size[k]].tobytes() for k in others])
+        count[others] = [len(x) for x in odd_ids]
+        new = np.concatenate([plain, others])
+        at[new] = len(self.pool) + np.cumsum(count[new]) - count[new]
+        self.pool = np.concatenate([self.pool, plain_ids, *odd_ids]).astype("<u4")
+        every = np.concatenate([self.keys, keys[new]])
+        order = np.argsort(every, kind="stable")
+        self.keys, self.at, self.count = every[order], np.concatenate([self.at, at[new]])[order], np.concatenate([self.count, count[new]])[order]
+        return at, count
+
+    def _forget(self) -> None:
+        self.keys, self.at, self.count, self.pool = np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, "<u4")
+
     def encode(self, data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """data: the UTF-8 bytes of some texts end to end; bounds: where each begins, and the end. The ids of all, as
         little-endian unsigned 32-bit numbers, and where each text's begin, and the end."""
@@ -252,19 +278,10 @@ class BlockTokens:
         size = np.minimum(next_start, end_of_word) - start
         is_odd = odd[np.searchsorted(word_at, start, side="right") - 1]
         keys = run_sums(low, start, size) ^ is_odd.astype(np.uint64)
-        _, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        plain = np.flatnonzero(~is_odd[first])
-        count = np.zeros(len(first), np.int64)
-        plain_ids, count[plain] = self._pieces_ids(low, start[first[plain]], size[first[plain]])
-        others = np.flatnonzero(is_odd[first])
-        odd_ids = self._odd_ids([data[start[k] : start[k] + size[k]].tobytes() for k in first[others]])
-        count[others] = [len(x) for x in odd_ids]
-        pool = np.concatenate([plain_ids, *odd_ids]).astype("<u4")
-        at = np.empty(len(first), np.int64)
-        order = np.concatenate([plain, others])
-        at[order] = np.cumsum(count[order]) - count[order]
+        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
+        at, count = self._of_pieces(distinct, low, data, start[first], size[first], is_odd[first])
         each = count[inverse]
         before = np.cumsum(each) - each
-        ids = pool[np.repeat(at[inverse] - before, each) + np.arange(int(each.sum()))]
+        ids = self.pool[np.repeat(at[inverse] - before, each) + np.arange(int(each.sum()))]
         edges = np.append(before, len(ids))
         return ids, edges[np.searchsorted(start, bounds)]

@@ -5,13 +5,14 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from hashlib import blake2b
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import text_of
+from docframe.llm.common import text_of, written
 
 # HTML element names by their role, and words of class, id and role attributes.
 RAW = frozenset("script style noscript template textarea title svg math iframe object canvas select option button".split())
@@ -31,7 +32,8 @@ BOILERPLATE = frozenset(
 PLAIN = frozenset("site page wrapper wrap area box container list block section bar inner outer global primary secondary left right top bottom".split())
 ARTICLE = frozenset("article articlebody main".split())
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S)
+# nothing is tried twice: a quote that doesn't end soon doesn't count as one
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]{0,4096}+\"|'[^']{0,4096}+'){0,256}+|[^>]*+)>|<[!?][^>]*>", re.S)
 _NAMES = re.compile(r"""\b(class|id|role|itemprop)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Za-z]+")
 _QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
@@ -43,7 +45,7 @@ _UNSEEN = re.compile(r"display\s*:\s*none|aria-hidden\s*=\s*[\"']?true", re.I)
 class Node:
     tag: str
     up: int
-    path: str
+    path: bytes  # a digest of the steps to it
     dropped: bool
     main: bool
     named: bool = False  # boilerplate by its names alone
@@ -86,11 +88,12 @@ def _described(tag: str, attributes: str) -> tuple[str, frozenset, bool, bool]:
 
 def parsed(html: str, share: float = 0.8) -> Page:
     """An element with boilerplate names alone is dropped unless it has `share` of the page's unlinked text."""
-    page = Page([Node("", -1, "", False, False)])
+    page = Page([Node("", -1, b"", False, False)])
     stack: list[tuple[str, int]] = [("", 0)]  # open elements with their container
     text: list[str] = []
     linked = total = links = 0
     skip_until = -1
+    endless: set[str] = set()  # raw elements that have no end from here on
 
     def close_block() -> None:
         nonlocal linked, total
@@ -127,8 +130,10 @@ def parsed(html: str, share: float = 0.8) -> Page:
                     break
             continue
         if tag in RAW:
-            end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if not m[3].endswith("/") else None
             if not m[3].endswith("/"):
+                end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at) if tag not in endless else None
+                if end is None:
+                    endless.add(tag)
                 at = skip_until = end.end() if end else (len(html) if tag in ("script", "style") else at)
             continue
         if tag == "br":
@@ -158,7 +163,7 @@ def parsed(html: str, share: float = 0.8) -> Page:
             named = boilerplate and not dropped and not whole and tag not in ("article", "main")
             if tag in CONTAINERS or dropped != parent.dropped or named:
                 main = parent.main or tag in ("article", "main") or bool(words & {"articlebody", "main", "article"})
-                page.nodes.append(Node(tag, up, f"{parent.path}/{step}", dropped, main, named))
+                page.nodes.append(Node(tag, up, blake2b(parent.path + step.encode(), digest_size=12).digest(), dropped, main, named))
                 up = len(page.nodes) - 1
         stack.append((tag, up))
     if at < len(html):
@@ -187,15 +192,8 @@ def _count(page: Page) -> None:
 
 
 def best(page: Page, share: float = 0.8) -> int:
-    """The container that scores best: the article or main element with most text if it has half of the good text, else
-    the smallest one with `share` of it. Text in links and in boilerplate doesn't count."""
-    whole = page.nodes[0].good
-    named = [i for i, n in enumerate(page.nodes) if n.tag in ("article", "main") and not n.dropped]
-    if named:
-        top = max(named, key=lambda i: (page.nodes[i].good, i))
-        if 2 * page.nodes[top].good >= whole:
-            return top
-    at = 0
+    """The container that scores best: the smallest one with `share` of the page's text outside links and boilerplate."""
+    whole, at = page.nodes[0].good, 0
     for i, n in enumerate(page.nodes):  # children come after their parents
         if not n.dropped and n.good >= share * whole and n.up == at:
             at = i
@@ -218,7 +216,7 @@ def _votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             i = best(page)
             paths.append(page.nodes[i].path)
             scores.append(page.nodes[i].good)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string()), pa.array(scores, pa.int64())], ["host", "path", "score"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.binary()), pa.array(scores, pa.int64())], ["host", "path", "score"])
 
 
 def _extracts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -235,21 +233,30 @@ def host_of(url: Column) -> Column:
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^\s*(?:\w+:)?//([^/?#]*)", 1))
 
 
-def extract(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_votes: int = 3, least_share: float = 0.5) -> DataFrame:
+def extract(
+    pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_share: float = 0.5, broadcast_hosts: int = 200_000, salts: int = 64
+) -> DataFrame:
     """One row per row of pages: page_id, url, text, n_chars.
 
     Each page votes for the generalised tag-class path of its best container; votes are counted by host with map-side
-    partials. A path with least_votes pages and least_share of its host's is the host's: its pages are extracted again
-    by it where they have it (all containers of that path, in page order), and otherwise by their own best container.
+    partials. The path with most votes, if it has least_share of its host's, is the host's: its pages are extracted again
+    by it where they have it (all containers of that path, in page order), and otherwise by their own best container. The
+    winning paths have a row of some 100 bytes for each host. Up to broadcast_hosts of them are sent to all tasks, so
+    that pages stay where they are; more are joined by host and one of `salts` parts, so that no host is in one task.
 
     Defined results: null html counts as empty, with text ''; a null url or one without a host belongs to the host '';
-    repeated rows have a result each; no rows give no rows; other columns are not read; pages of any length are read
-    whole.
+    of paths with equal votes the one with more text wins; repeated rows have a result each; no rows give no rows; other
+    columns are not read; pages of any length are read whole, in time that grows with their length.
     """
     src = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), text_of(html_col).alias("html"), host_of(F.col(url_col)).alias("host"))
-    votes = src.select("host", "html").mapInArrow(_votes, "host string, path string, score long").where("score > 0")
+    votes = src.select("host", "html").mapInArrow(_votes, "host string, path binary, score long").where("score > 0")
     counted = votes.groupBy("host", "path").agg(F.count(F.lit(1)).alias("n"), F.sum("score").alias("score"))
     won = counted.groupBy("host").agg(F.max_by(F.struct("path", "n"), F.struct("n", "score", "path")).alias("top"), F.sum("n").alias("n_host"))
-    won = won.where((F.col("top.n") >= least_votes) & (F.col("top.n") >= least_share * F.col("n_host"))).select("host", F.col("top.path").alias("path"))
-    again = src.join(won, "host", "left").select("page_id", "url", "html", "path").mapInArrow(_extracts, "page_id long, url string, text string")
+    won = written(won.where(F.col("top.n") >= least_share * F.col("n_host")).select("host", F.col("top.path").alias("path")))
+    if won.count() <= broadcast_hosts:
+        joined = src.join(F.broadcast(won), "host", "left")
+    else:
+        parts = won.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        joined = src.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(salts)).cast("int")).join(parts, ["host", "salt"], "left")
+    again = joined.select("page_id", "url", "html", "path").mapInArrow(_extracts, "page_id long, url string, text string")
     return again.withColumn("n_chars", F.length("text").cast("long"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -19,9 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir, which driver and executors share; set to a new one only where it is unset."""
+    """The folder in spark.checkpoint.dir, which driver and executors share. Where it is unset, a session of one machine
+    gets a new one; on a cluster that is an error, since executors don't see the driver's folders."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        master = spark.conf.get("spark.master", "")
+        if not re.fullmatch(r"local(\[.*\])?", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found
@@ -31,7 +36,23 @@ def written(df: DataFrame) -> DataFrame:
     """Write df as Parquet into the shared folder and read it back: cuts the lineage, and a lost executor loses nothing."""
     path = f"{shared_dir(df.sparkSession).rstrip('/')}/docframe/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    back = df.sparkSession.read.schema(df.schema).parquet(path)
+    back.written_at = path
+    return back
+
+
+def discard(*frames: DataFrame) -> None:
+    """Deletes the files of written frames that nothing will read any more; what else was made from them is gone too."""
+    for df in frames:
+        path = getattr(df, "written_at", None)
+        if path:
+            place = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(place, True)
+
+
+def bounded(df: DataFrame, rows: int, most_rows: int = 100_000) -> DataFrame:
+    """df of narrow rows, sent to all tasks if there are no more than most_rows of them."""
+    return F.broadcast(df) if rows <= most_rows else df
 
 
 def partitions(spark: SparkSession) -> int:

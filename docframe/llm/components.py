@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import written
+from docframe.llm.common import discard, written
 
 
 def _stars(links: DataFrame, large: bool) -> DataFrame:
@@ -29,5 +29,6 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         # done when every node has one link and no node that is pointed at points on
         if nodes == pointed and now.join(now.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             return now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        now = written(_stars(_stars(now, large=True), large=False))
+        before, now = now, written(_stars(_stars(now, large=True), large=False))
+        discard(before)
     raise RuntimeError("components did not settle")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_rows, text_of, written
+from docframe.llm.common import arrow_rows, bounded, text_of, written
 from docframe.llm.shingles import blocks, run_hashes, window_hashes, word_ends, word_hashes
 
 
@@ -19,7 +19,8 @@ from docframe.llm.shingles import blocks, run_hashes, window_hashes, word_ends,
 class Passages:
     """k words make a seed; of `spread` seeds in a row at least one is kept (the least hash), so that any k + spread - 1
     equal words share one. gap: cost of each word between seeds, on either side, against k for a seed. A passage has
-    least_words on both sides, and least_percent of the longer side's words match."""
+    least_words on both sides, and least_percent of the longer side's words match. Of a document that more than hot_rows
+    chains refer to, a task has about hot_rows at most."""
 
     k: int = 5
     spread: int = 10
@@ -27,6 +28,7 @@ class Passages:
     least_words: int = 50
     least_percent: int = 75
     drop: int = 8
+    hot_rows: int = 256
 
 
 def _seeds(passages: Passages):
@@ -351,15 +353,25 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
     first = seeds.groupBy("seed").agg(F.min(F.struct("doc", "pos")).alias("first"), F.max("doc").alias("last")).where("first.doc <> last")
     # written, so that the join has exchanges of its own on both sides and a hot seed's rows can be split among tasks
     first = written(first.select("seed", F.col("first.doc").alias("rdoc"), F.col("first.pos").alias("rpos")))
-    matched = seeds.join(first, "seed")
-    gathered = matched.groupBy("doc").agg(F.collect_list(F.struct("rdoc", "pos", "rpos")).alias("matches"))
+    gathered = seeds.join(first, "seed").groupBy("doc").agg(F.collect_list(F.struct("rdoc", "pos", "rpos")).alias("matches"))
     chained = written(gathered.mapInArrow(_chained(passages), "doc long, rdoc long, at array<int>, rat array<int>"))
     dealt = texts.repartition("id")  # one exchange of the texts, read from both sides
     room = passages.least_words
     start = F.greatest(F.element_at("rat", 1) - room, F.lit(0))
     inner = F.split(F.trim(F.col("text"), F.lit(" \t\n\x0b\f\r")), r"[\x20\x09-\x0D]+")
     cut = F.array_join(F.slice(inner, start + 1, F.element_at("rat", -1) + passages.k + room - start), " ")
-    with_ref = chained.where("rdoc is not null").join(dealt.withColumnRenamed("id", "rdoc"), "rdoc").select("doc", "rdoc", "at", "rat", start.alias("rfrom"), cut.alias("ref"))
+    matched = chained.where("rdoc is not null")
+    # documents that many others are matched with are dealt to several tasks, and their texts are there as often
+    parts = F.ceil(F.col("n") / F.lit(passages.hot_rows)).cast("int")
+    hot = written(matched.groupBy("rdoc").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > passages.hot_rows).select("rdoc", parts.alias("parts")))
+    n_hot = hot.count()
+    named = dealt.withColumnRenamed("id", "rdoc")
+    columns = ["doc", "rdoc", "at", "rat", start.alias("rfrom"), cut.alias("ref")]
+    with_ref = (matched.join(bounded(hot, n_hot), "rdoc", "left_anti") if n_hot else matched).join(named, "rdoc").select(*columns)
+    if n_hot:
+        rows = matched.join(bounded(hot, n_hot), "rdoc").withColumn("part", F.pmod(F.xxhash64("doc"), F.col("parts")).cast("int")).drop("parts")
+        copies = texts.withColumnRenamed("id", "rdoc").join(bounded(hot, n_hot), "rdoc").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
+        with_ref = with_ref.unionByName(rows.join(copies, ["rdoc", "part"]).select(*columns))
     both = with_ref.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "rdoc", "at", "rat", "rfrom", "ref", "text")
     regions = chained.where("rdoc is null").select("doc", "at", "rat")
     windows = regions.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "at", "rat", "text").mapInArrow(_windowed(passages), WINDOWS)

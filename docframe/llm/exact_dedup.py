@@ -25,9 +25,9 @@ def exact_groups(
     Sampled splitters deal the rows out by ranges of (leading characters, content hash); within a range an external sort
     by the full normalised text puts equal texts next to each other, and the window over the sorted run compares
     neighbours in full. A content hash counted over all rows finds texts that hold more than half a partition's share of
-    the rows; their rows are spread over several ranges by the id, and their size and smallest (or largest) id come from
-    an aggregate with map-side partials. There are fewer than two such texts for each partition, and each has one row of
-    fixed width in the table that is broadcast.
+    the rows; their rows are spread over several ranges by the id, and the first rows of those ranges' runs are sorted
+    and compared once more, which gives the text's size and smallest (or largest) id. There are fewer than two such texts
+    for each partition, and each has one row of fixed width in the tables that are broadcast.
 
     Defined results: null text counts as empty; rows of null id are kept only when the group has no other id; of rows
     with the same id and text one stays; empty input gives no rows; other columns, whatever their names, pass through.
@@ -48,35 +48,35 @@ def exact_groups(
         src.groupBy("h").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > share)
         .select("h", F.ceil(F.col("n") / share).cast("long").alias("parts"))
     )
-    best = F.min if keep == "smallest" else F.max
-    merged = (
-        src.join(F.broadcast(hot), "h", "left_semi")
-        .groupBy("body").agg(best("id").alias("m_keep"), F.count(F.lit(1)).alias("m_size"))
-        .select(F.sha2("body", 256).alias("text_sha256"), "m_keep", "m_size")
-    )
-    dealt = (
-        src.join(F.broadcast(hot), "h", "left")
-        .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long")))
-        .withColumn("lead", F.substring("body", 1, splitter_chars))
-        .drop("parts")
-        .repartitionByRange("lead", "h", "salt")
-    )
     order = F.col("id").asc_nulls_last() if keep == "smallest" else F.col("id").desc_nulls_last()
-    run = Window.partitionBy("lead", "h", "salt", "body").orderBy(order)
-    whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    compared = dealt.select(
-        "rest",
-        "id",
-        "body",
-        F.row_number().over(run).alias("place"),
-        F.first("id").over(whole).alias("keep_here"),
-        F.count(F.lit(1)).over(whole).alias("size_here"),
-        F.sha2("body", 256).alias("text_sha256"),
-    )
+
+    def compared(rows: DataFrame, *carried: str) -> DataFrame:
+        """rows sorted within their ranges, each with its place in the run of equal texts there, the run's first id and size."""
+        dealt = (
+            rows.join(F.broadcast(hot), "h", "left")
+            .withColumn("salt", F.coalesce(F.pmod(F.xxhash64("id"), F.col("parts")), F.lit(0).cast("long")))
+            .withColumn("lead", F.substring("body", 1, splitter_chars))
+            .drop("parts")
+            .repartitionByRange("lead", "h", "salt")
+        )
+        run = Window.partitionBy("lead", "h", "salt", "body").orderBy(order)
+        whole = run.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        return dealt.select(
+            *carried, "id", "body", F.row_number().over(run).alias("place"), F.first("id").over(whole).alias("keep_here"),
+            F.count(F.lit(1)).over(whole).alias("size_here"), F.sha2("body", 256).alias("text_sha256"),
+        )
+
+    # the runs of a hot text's ranges are sorted once more by their first rows, and those compared with their neighbours
+    heads = compared(src.join(F.broadcast(hot), "h", "left_semi").select("id", "body", "h")).where("place = 1")
+    again = Window.partitionBy("body").orderBy(order)
+    merged = heads.select(
+        "text_sha256", F.row_number().over(again).alias("place"), F.first("id").over(again).alias("m_keep"),
+        F.sum("size_here").over(again.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("m_size"),
+    ).where("place = 1").drop("place")
     keep_id = F.coalesce("m_keep", "keep_here")
     own = F.when(F.col("rest._null_text"), F.lit(None)).otherwise(F.col("body")).cast(docs.schema[text_col].dataType)
     row = [F.col(f"rest.`{c}`").alias(c) if c in rest else own.alias(c) for c in docs.columns]
-    return compared.join(F.broadcast(merged), "text_sha256", "left").select(
+    return compared(src, "rest").join(F.broadcast(merged), "text_sha256", "left").select(
         F.struct(*row).alias("row"),
         keep_id.alias("keep_id"),
         F.coalesce("m_size", "size_here").cast("long").alias("group_size"),

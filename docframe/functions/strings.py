@@ -64,7 +64,9 @@ def replace_first(s: Column, search: str, put: str) -> Column:
 def replace_first_match(s: Column, pattern: str, put: str) -> Column:
     """The first match of a pattern; $1 and the like stand for groups, $& for the match."""
     groups = re.sub(r"\$(\d)", lambda m: f"${int(m[1]) + 2}", put).replace("$&", "$2")
-    return F.regexp_replace(s, f"(?s)\\A(.*?)({pattern})", f"$1{groups}")
+    # two groups come before the pattern's own, and the text before the match may have line ends
+    shifted = re.sub(r"\\(.)", lambda m: f"\\{int(m[1]) + 2}" if m[1] in "123456789" else m[0], pattern, flags=re.S)
+    return F.regexp_replace(s, f"\\A((?s:.*?))({shifted})", f"$1{groups}")
 
 
 def replace_all(s: Column, search: str, put: str) -> Column:
@@ -130,7 +132,7 @@ def repeat(s: Column, n: int) -> Column:
 
 def match(s: Column, pattern: str, groups: int = 0) -> Column:
     """The first match with its groups, or null."""
-    return F.when(s.rlike(pattern), F.array(*[F.regexp_extract(s, f"(?s){pattern}" if g else pattern, g) for g in range(groups + 1)]))
+    return F.when(s.rlike(pattern), F.array(*[F.regexp_extract(s, pattern, g) for g in range(groups + 1)]))
 
 
 def match_each(s: Column, pattern: str) -> Column:

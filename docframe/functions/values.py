@@ -98,11 +98,26 @@ def _vectorised(f) -> Column:
 
 
 def number_string(value: Column, kind: T.DataType) -> Column:
-    """A number's text; null stays null. Integers and decimals stay on the JVM."""
+    """A number's text, as number_text has it, in built-in functions; null stays null."""
     if isinstance(kind, _INTEGERS):
         return value.cast("string")
-    # null and NaN meet in pandas, so NaN is told apart before
-    return F.when(value.isNull(), None).when(F.isnan(value), "NaN").otherwise(_vectorised(lambda x: None if pd.isna(x) else number_text(x))(value.cast("double")))
+    x = value.cast("double")
+    text = F.abs(x).cast("string")
+    # digits and the place of the point, from a text such as 1.25E-7
+    power = F.substring_index(text, "E", -1).cast("int")
+    digits = F.regexp_replace(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), "(?<=.)0$", "")
+    point, n = power + 1, F.length(digits)
+    scientific = F.concat(
+        F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),
+        F.when(power > 0, "e+").otherwise("e-"), F.abs(power).cast("string"),
+    )
+    plain = F.when(n <= point, F.rpad(digits, point, F.lit("0"))).otherwise(F.concat(F.substring(digits, F.lit(1), point), F.lit("."), F.substring(digits, point + 1, n)))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -point), digits)
+    spread = F.when((point > 0) & (point <= 21), plain).when((point > -6) & (point <= 0), small).otherwise(scientific)
+    body = F.when(text.contains("E"), spread).otherwise(F.regexp_replace(text, r"\.0$", ""))
+    signed = F.when(x < 0, F.concat(F.lit("-"), body)).otherwise(body)
+    infinite = F.when(x > 0, "Infinity").otherwise("-Infinity")
+    return F.when(value.isNull(), None).when(F.isnan(x), "NaN").when(x == 0, "0").when(F.abs(x) == float("inf"), infinite).otherwise(signed)
 
 
 def to_fixed(value: Column, places: int) -> Column:
@@ -123,9 +138,15 @@ def to_radix(value: Column, radix: int) -> Column:
     return F.when(value < 0, F.concat(F.lit("-"), text)).otherwise(text)
 
 
+def _of_base(digits: Column, base: int) -> Column:
+    """The double of an unsigned integer's digits: exact up to 52 bits, and within rounding beyond."""
+    place = lambda d: F.call_function("locate", d, F.lit("0123456789abcdef")) - 1
+    return F.aggregate(F.split(digits, "(?!^)(?!$)"), F.lit(0.0), lambda total, d: total * base + place(d))
+
+
 def to_number(value: Column, kind: T.DataType) -> Column:
     """The number that a value reads as, and 0 where it reads as none: white space is trimmed, '' and null are 0, true is
-    1, 0x.. is hexadecimal, Infinity is read."""
+    1, 0x, 0o and 0b begin hexadecimal, octal and binary digits, Infinity is read."""
     if isinstance(kind, T.BooleanType):
         return F.coalesce(value.cast("double"), F.lit(0.0))
     if isinstance(kind, T.NumericType):
@@ -135,10 +156,9 @@ def to_number(value: Column, kind: T.DataType) -> Column:
     text = F.regexp_replace(F.regexp_replace(value, f"^{WHITE}", ""), rf"{WHITE}\z", "")
     decimal = text.rlike(r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\z")
     infinite = text.rlike(r"^[+-]?Infinity\z")
-    number = (
-        F.when(decimal, text.try_cast("double")).when(infinite, F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
-        .when(text.rlike(r"^0[xX][0-9a-fA-F]{1,15}\z"), F.conv(F.substring(text, 3, 20), 16, 10).cast("double"))
-    )
+    number = F.when(decimal, text.try_cast("double")).when(infinite, F.when(text.startswith("-"), float("-inf")).otherwise(float("inf")))
+    for base, sign, digit in ((16, "xX", "0-9a-fA-F"), (8, "oO", "0-7"), (2, "bB", "01")):
+        number = number.when(text.rlike(rf"^0[{sign}][{digit}]+\z"), _of_base(F.lower(F.substring(text, F.lit(3), F.length(text))), base))
     return F.coalesce(number, F.lit(0.0))
 
 
@@ -146,14 +166,10 @@ def string_of(value: Column, kind: T.DataType, null: str = "null") -> Column:
     """The text of any value: arrays comma-joined at every depth with nulls as nothing, objects as [object Object]."""
     if isinstance(kind, T.BooleanType):
         text = value.cast("string")
-    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+    elif isinstance(kind, T.NumericType):
         text = number_string(value, kind)
     elif isinstance(kind, T.ArrayType):
-        inner = kind.elementType
-        if isinstance(inner, (T.FloatType, T.DoubleType)):
-            text = F.array_join(F.transform(value, lambda x: F.when(x == F.floor(x), F.format_string("%.0f", x)).otherwise(x.cast("string"))), ",", "")
-        else:
-            text = F.array_join(F.transform(value, lambda x: string_of(x, inner, "")), ",", "")
+        text = F.array_join(F.transform(value, lambda x: string_of(x, kind.elementType, "")), ",", "")
     elif isinstance(kind, (T.StructType, T.MapType)):
         text = F.when(value.isNotNull(), "[object Object]")
     else:
@@ -183,22 +199,37 @@ def has_key(value: Column, key: str) -> Column:
     return F.coalesce(F.variant_get(value, f"$.{key}", "variant").isNotNull(), F.lit(False))
 
 
-def clean(value: Column, kind: T.DataType) -> Column:
-    """value for compact JSON: NaN and infinities as null, at any depth."""
-    if isinstance(kind, (T.FloatType, T.DoubleType)):
-        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
-    if isinstance(kind, T.ArrayType):
-        return F.transform(value, lambda x: clean(x, kind.elementType))
-    if isinstance(kind, T.StructType):
-        return F.when(value.isNotNull(), F.struct(*[clean(value[f.name], f.dataType).alias(f.name) for f in kind.fields]))
-    return value
+def _quoted_json(value: Column) -> Column:
+    """JSON of a string, date or other value that has no parts."""
+    text = F.to_json(F.array(value))
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
+def _json(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, (T.BooleanType, *_INTEGERS)):
+        text = value.cast("string")
+    elif isinstance(kind, T.NumericType):
+        x = value.cast("double")
+        text = F.when(~F.isnan(x) & (F.abs(x) != float("inf")), number_string(value, kind))
+    elif isinstance(kind, T.ArrayType):
+        text = F.concat(F.lit("["), F.array_join(F.transform(value, lambda x: _json(x, kind.elementType)), ","), F.lit("]"))
+    elif isinstance(kind, T.MapType):
+        each = F.transform(F.map_entries(value), lambda e: F.concat(_quoted_json(e["key"].cast("string")), F.lit(":"), _json(e["value"], kind.valueType)))
+        text = F.concat(F.lit("{"), F.array_join(each, ","), F.lit("}"))
+    elif isinstance(kind, T.StructType):
+        parts = [x for k, f in enumerate(kind.fields) for x in (F.lit("," * (k > 0) + json.dumps(f.name, ensure_ascii=False) + ":"), _json(value.getField(f.name), f.dataType))]
+        text = F.when(value.isNotNull(), F.concat(F.lit("{"), *parts, F.lit("}")))
+    elif isinstance(kind, T.VariantType):
+        text = F.to_json(value)
+    else:
+        text = F.when(value.isNotNull(), _quoted_json(value))
+    return F.coalesce(text, F.lit("null"))
 
 
 def to_json_text(value: Column, kind: T.DataType) -> Column:
-    """Compact JSON of a struct, map or array: nulls are written, numbers that are none become null, whole doubles have
-    no fraction (through a variant)."""
-    text = F.to_json(clean(value, kind), {"ignoreNullFields": "false"})
-    return F.regexp_replace(text, r"(?<=[:\[,]-?\d{1,15})\.0(?=[,}\]])", "")
+    """Compact JSON of a struct, map or array, put together by type: nulls are written, numbers that are none become null,
+    the others have the text of number_string; what stands in strings is never touched."""
+    return F.when(value.isNotNull(), _json(value, kind))
 
 
 @F.pandas_udf(T.StringType())

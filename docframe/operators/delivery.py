@@ -21,6 +21,8 @@ def chunks(df: DataFrame, order_by: list[Column], threshold: int = THRESHOLD, si
     return placed.withColumns({"chunk": chunk, "chunk_index": (chunk * step).cast("long"), "chunk_end": end, "is_last": end == total, "total_items": F.lit(total).cast("long")})
 
 
-def write_chunks(df: DataFrame, order_by: list[Column], path: str, size: int = CHUNK) -> None:
-    """A folder of JSON lines for each chunk."""
-    chunks(df, order_by, size=size).drop("chunk_index", "chunk_end", "is_last", "total_items").write.partitionBy("chunk").json(path)
+def write_chunks(df: DataFrame, order_by: list[Column], path: str, size: int = CHUNK, files: int | None = None) -> None:
+    """JSON lines with the chunk as a column; a chunk's rows follow one another in one file, and a file has many chunks."""
+    rows = chunks(df, order_by, size=size).drop("chunk_index", "chunk_end", "is_last", "total_items")
+    dealt = rows.repartitionByRange("chunk") if files is None else rows.repartitionByRange(files, "chunk")
+    dealt.sortWithinPartitions("_pos").write.json(path)

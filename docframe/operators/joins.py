@@ -59,13 +59,28 @@ def theta(left: DataFrame, right: DataFrame, test: Column) -> DataFrame:
     return left.join(right, test)
 
 
+#: Buckets of a level are so many times as wide as those of the one below; the last level has a single bucket.
+_WIDER, _LEVELS = 16, 16
+
+
 def range_join(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
-    """Pairs with low <= point < high, through buckets of a width: a range is put into each bucket that it touches, a
-    point into its own, and the bounds are tested again. Rows grow with the ranges' lengths in buckets, not with pairs."""
-    bucket = lambda c: F.floor(c / F.lit(width)).cast("long")
-    spread = ranges.where(F.col(low) < F.col(high)).withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
-    placed = points.withColumn("_bucket", bucket(F.col(point)))
-    return placed.join(spread, "_bucket").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bucket")
+    """Pairs with low <= point < high, through buckets. Width is that of the smallest buckets; a range is put into those
+    of the first level of which it touches few, so it has at most 17 rows however long it is (ranges without an end are
+    in the last level), and a point has one row for each level that some range is in. The bounds are tested again."""
+    finite = lambda c: F.abs(c.cast("double")) < float("inf")
+    length = (F.col(high).cast("double") - F.col(low).cast("double")) / F.lit(float(width))
+    steps = F.ceil(F.log(F.greatest(length, F.lit(1.0))) / F.log(F.lit(float(_WIDER)))).cast("int") - 1
+    level = F.when(finite(F.col(low)) & finite(F.col(high)), F.least(F.greatest(steps, F.lit(0)), F.lit(_LEVELS))).otherwise(_LEVELS)
+
+    def bucket(c: Column) -> Column:
+        size = F.lit(float(width)) * F.pow(F.lit(float(_WIDER)), F.col("_level"))
+        return F.when(F.col("_level") == _LEVELS, 0).otherwise(F.floor(c.cast("double") / size)).cast("long")
+
+    spread = ranges.where(F.col(low) < F.col(high)).withColumn("_level", level)
+    spread = spread.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(low)), bucket(F.col(high)))))
+    used = sorted(r["_level"] for r in spread.select("_level").distinct().collect()) or [0]
+    placed = points.withColumn("_level", F.explode(F.array(*[F.lit(k) for k in used]))).withColumn("_bucket", bucket(F.col(point)))
+    return placed.join(spread, ["_level", "_bucket"]).where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_level", "_bucket")
 
 
 def cross(left: DataFrame, right: DataFrame) -> DataFrame:
@@ -78,6 +93,7 @@ def as_of(left: DataFrame, right: DataFrame, left_time: str, right_time: str, ke
     equal times), as the struct `last`: one window over both sides, without pairs."""
     a = left.select(*[left[k].alias(k) for k in keys], F.col(left_time).alias("_t"), F.lit(1).alias("_side"), F.lit(None).cast(right.schema[tie].dataType).alias("_tie"), F.struct(*left.columns).alias("_row"))
     a = a.withColumn("_value", F.lit(None).cast(right.select(F.struct(*value)).schema[0].dataType))
+    right = _without_nan(right, keys)
     b = right.select(*[right[k].alias(k) for k in keys], F.col(right_time).alias("_t"), F.lit(0).alias("_side"), F.col(tie).alias("_tie"), F.lit(None).cast(a.schema["_row"].dataType).alias("_row"), F.struct(*value).alias("_value"))
     run = Window.partitionBy(*keys).orderBy("_t", "_side", "_tie").rowsBetween(Window.unboundedPreceding, 0)
     seen = a.unionByName(b).withColumn("last", F.last("_value", ignorenulls=True).over(run))

@@ -29,24 +29,29 @@ def with_position(df: DataFrame, order_by: list[Column], name: str = "_pos") ->
     return placed.select(*df.columns, (F.col("offset") + local).cast("long").alias(name))
 
 
+#: Up to so many rows from either end are taken as a top-k; what is deeper by places.
+NEAR = 10_000
+
+
 def slice_rows(df: DataFrame, order_by: list[Column], start: int = 0, end: int | None = None) -> DataFrame:
-    """Rows from start to before end of the order; negatives count from the end. Without negatives, by offset and limit."""
-    if start >= 0 and (end is None or end >= 0):
-        ordered = df.orderBy(*order_by)
-        return ordered.offset(start) if end is None else ordered.limit(max(end, start)).offset(start)
+    """Rows from start to before end of the order; negatives count from the end. A slice near the beginning is a top-k,
+    any other a filter on places, so that no task has more than its part of the rows."""
+    if start >= 0 and end is not None and 0 <= end <= NEAR:
+        return df.orderBy(*order_by).limit(max(end, start)).offset(start) if end > start else df.limit(0)
     n = df.count()
     a = max(0, n + start) if start < 0 else min(start, n)
     z = n if end is None else max(0, n + end) if end < 0 else min(end, n)
-    return df.orderBy(*order_by).limit(max(a, z)).offset(a)
+    placed = with_position(df, order_by, "_slice_pos")
+    return placed.where((F.col("_slice_pos") >= a) & (F.col("_slice_pos") < z)).orderBy("_slice_pos").drop("_slice_pos")
 
 
 def row_at(df: DataFrame, order_by: list[Column], i: int, reversed_: list[Column] | None = None) -> DataFrame:
-    """The row at a place, none if there is none; for a negative place give the opposite order too."""
-    if i >= 0:
-        return df.orderBy(*order_by).limit(i + 1).offset(i)
-    if reversed_ is None:
-        raise ValueError("a negative place needs the opposite order")
-    return df.orderBy(*reversed_).limit(-i).offset(-i - 1)
+    """The row at a place, none if there is none; for a negative place near the end give the opposite order too."""
+    if i < 0:
+        if reversed_ is None:
+            raise ValueError("a negative place needs the opposite order")
+        return row_at(df, reversed_, -i - 1)
+    return slice_rows(df, order_by, i, i + 1)
 
 
 def top_k(df: DataFrame, order_by: list[Column], k: int) -> DataFrame:

@@ -35,18 +35,24 @@ def header(df: DataFrame, text: str, order_by: Column, first: int | None = None)
     return [r["key"] for r in keys.orderBy("at").collect()]
 
 
-def dynamic_table(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
-    """Cells of JSON texts by key: JSON null as 'null', a missing key as '', rows that are no objects as empty cells."""
-    v = F.try_parse_json(F.col(text))
+def _values(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """A variant column _0, _1 .. for each key, from one parse of each text."""
+    parsed = df.select(F.try_parse_json(F.col(text)).alias("_v"))
+    place = lambda k: "$['" + k.replace("\\", "\\\\").replace("'", "\\'") + "']"
+    return parsed.select(*[F.try_variant_get("_v", place(k), "variant").alias(f"_{i}") for i, k in enumerate(keys)])
+
 
-    def one(key: str) -> Column:
-        got = F.try_variant_get(v, "$['" + key.replace("'", "\\'") + "']", "variant")
-        kind = values.json_type(got)
-        whole = F.to_json(got)
-        plain = F.try_variant_get(got, "$", "string")
-        return F.when(got.isNull(), "").when(kind == "null", "null").when(kind.isin("array", "object"), whole).when(kind == "number", F.regexp_replace(whole, r"\.0+\z", "")).otherwise(plain)
+def _shown(got: Column, nested: Column) -> Column:
+    """The text of a variant: JSON null as 'null', a missing one as ''; nested ones as given."""
+    kind = values.json_type(got)
+    number = values.number_string(F.try_variant_get(got, "$", "double"), T.DoubleType())
+    return F.when(got.isNull(), "").when(kind == "null", "null").when(kind.isin("array", "object"), nested).when(kind == "number", number).otherwise(F.try_variant_get(got, "$", "string"))
 
-    return df.select(*[one(k).alias(k) for k in keys])
+
+def dynamic_table(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """Cells of JSON texts by key: JSON null as 'null', a missing key as '', rows that are no objects as empty cells."""
+    found = _values(df, text, keys)
+    return found.select(*[_shown(F.col(f"_{i}"), F.to_json(f"_{i}")).alias(k) for i, k in enumerate(keys)])
 
 
 def _quoted(text: Column) -> Column:
@@ -60,6 +66,20 @@ def csv_lines(df: DataFrame) -> DataFrame:
     return df.select(F.concat_ws(",", *cells).alias("value"))
 
 
+def dynamic_csv_lines(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
+    """The same for JSON texts by key: a missing key is an empty cell, JSON null is null. Items of nested arrays that are
+    arrays themselves are joined as well, at one more depth."""
+    found = _values(df, text, keys)
+
+    def flat(got: Column, deeper: int) -> Column:
+        """String(value): an array's items joined by commas with nulls as nothing, an object as [object Object]."""
+        items = F.try_variant_get(got, "$", "array<variant>")
+        inner = lambda x: F.when(values.json_type(x) == "null", "").otherwise(_shown(x, flat(x, deeper - 1) if deeper else F.to_json(x)))
+        return F.when(values.json_type(got) == "array", F.array_join(F.transform(items, inner), ",")).otherwise(F.lit("[object Object]"))
+
+    return found.select(F.concat_ws(",", *[_quoted(_shown(F.col(f"_{i}"), flat(F.col(f"_{i}"), 1))) for i in range(len(keys))]).alias("value"))
+
+
 def csv_header(df: DataFrame) -> str:
     return ",".join(df.columns)
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docframe.functions.values import truthy
+from docframe.functions.values import string_of, truthy
 
 
 def map_rows(df: DataFrame, **columns: Column) -> DataFrame:
@@ -91,5 +91,5 @@ def distinct_rows(df: DataFrame, keys: list[str], order_by: str) -> DataFrame:
 
 
 def text_order(df: DataFrame, column: str) -> DataFrame:
-    """The default sort of numbers and strings: by their text."""
-    return df.orderBy(F.coalesce(F.col(column).cast("string"), F.lit("null")), *[c for c in df.columns if c != column])
+    """The default sort of values: by their text."""
+    return df.orderBy(string_of(F.col(column), df.schema[column].dataType), *[c for c in df.columns if c != column])

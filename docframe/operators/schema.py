@@ -10,27 +10,31 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SCHEMA = "path string, type string, n long"
+#: place: the steps of a path as a JSON array, so that a key with a dot differs from a nested one; parent: that of the
+#: object that has the key, null for items and the whole.
+SCHEMA = "place string, parent string, path string, type string, n long"
+_TYPES = {str: "string", list: "array", dict: "object", bool: "boolean", int: "number", float: "number", type(None): "null"}
 
 
-def _type(value) -> str:
-    if value is None:
-        return "null"
-    if isinstance(value, bool):
-        return "boolean"
-    if isinstance(value, (int, float)):
-        return "number"
-    return {str: "string", list: "array", dict: "object"}[type(value)]
+def _no_constant(name: str):
+    raise ValueError(f"not JSON: {name}")
 
 
-def _walk(path: str, value, seen: Counter) -> None:
-    seen[path, _type(value)] += 1
-    if isinstance(value, dict):
-        for k, v in value.items():
-            _walk(f"{path}.{k}" if path else k, v, seen)
-    elif isinstance(value, list):
-        for v in value:
-            _walk(f"{path}[]", v, seen)
+def _walk(whole, seen: Counter) -> None:
+    """Counts every value's path and type, without recursion."""
+    todo = [((), None, whole)]
+    while todo:
+        steps, parent, value = todo.pop()
+        seen[steps, parent, _TYPES[type(value)]] += 1
+        if isinstance(value, dict):
+            todo += [((*steps, k), steps, v) for k, v in value.items()]
+        elif isinstance(value, list):
+            todo += [((*steps, None), None, v) for v in value]
+
+
+def _shown(steps: tuple) -> str:
+    """a.b[].c"""
+    return "".join("[]" if k is None else f".{k}" for k in steps).removeprefix(".")
 
 
 def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,26 +42,24 @@ def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: Counter = Counter()
         for text in batch.column(0).to_pylist():
             if text is not None:
-                _walk("", json.loads(text), seen)
-        rows = sorted(seen.items())
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([p for (p, _), _ in rows], pa.string()), pa.array([t for (_, t), _ in rows], pa.string()), pa.array([n for _, n in rows], pa.int64())], ["path", "type", "n"]
-        )
+                _walk(json.loads(text, parse_constant=_no_constant), seen)
+        rows = [(json.dumps(s), None if p is None else json.dumps(p), _shown(s), t, n) for (s, p, t), n in seen.items()]
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
+        types = [pa.string()] * 4 + [pa.int64()]
+        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, types, strict=True)], ["place", "parent", "path", "type", "n"])
 
 
 def infer(df: DataFrame, text: str) -> DataFrame:
     """The schema of a column of JSON texts, over all rows: path (array items as []), types (sorted), n_present, n_null,
-    optional (there are objects at the parent path without the key). Each batch gives one row for a path and type, so
-    what is shuffled grows with the paths."""
-    counted = df.select(F.col(text)).mapInArrow(_counts, SCHEMA).groupBy("path", "type").agg(F.sum("n").alias("n"))
-    found = counted.groupBy("path").agg(
-        F.array_sort(F.collect_list("type")).alias("types"), F.sum("n").alias("n_present"), F.coalesce(F.sum(F.when(F.col("type") == "null", F.col("n"))), F.lit(0)).cast("long").alias("n_null"),
-        F.coalesce(F.sum(F.when(F.col("type") == "object", F.col("n"))), F.lit(0)).cast("long").alias("n_objects"),
-    )
-    item = F.col("path").endswith("[]") | (F.col("path") == "")
-    parent = F.when(item, None).otherwise(F.regexp_replace("path", r"\.?[^.]*\z", ""))
-    owners = found.select(F.col("path").alias("_owner"), F.col("n_objects").alias("_n_owner"))
-    joined = found.withColumn("_parent", parent).join(owners, F.col("_parent") == F.col("_owner"), "left")
+    optional (there are objects at the parent path without the key). Text that is no JSON, such as NaN, is an error.
+    Each batch gives one row for a path and type, so what is shuffled grows with the paths."""
+    counted = df.select(F.col(text)).mapInArrow(_counts, SCHEMA).groupBy("place", "parent", "path", "type").agg(F.sum("n").alias("n"))
+    of = lambda kind: F.coalesce(F.sum(F.when(F.col("type") == kind, F.col("n"))), F.lit(0)).cast("long")
+    found = counted.groupBy("place", "parent", "path").agg(
+        F.array_sort(F.collect_list("type")).alias("types"), F.sum("n").alias("n_present"), of("null").alias("n_null"), of("object").alias("n_objects")
+    )
+    owners = found.select(F.col("place").alias("_owner"), F.col("n_objects").alias("_n_owner"))
+    joined = found.join(owners, F.col("parent") == F.col("_owner"), "left")
     return joined.select("path", "types", "n_present", "n_null", F.coalesce(F.col("n_present") < F.col("_n_owner"), F.lit(False)).alias("optional"))
 
 

@@ -91,7 +91,7 @@ def window_running_total(t):
     return order.running_total(t("events").select("event_id", "user_id"), [F.col("event_id")], "user_id").select("event_id", "running")
 
 
-@query()
+@query("SELECT user_id, count(*) FILTER (event_type = 'purchase' AND event_id > last_other) AS purchases_at_end FROM (SELECT *, coalesce(max(event_id) FILTER (event_type <> 'purchase') OVER (PARTITION BY user_id), -1) AS last_other FROM events) GROUP BY user_id")
 def custom_fold(t):
     """An ordered fold of each key by Python code."""
     e = t("events").select("user_id", "event_id", "event_type")

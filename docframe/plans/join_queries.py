@@ -81,3 +81,12 @@ def set_except(t):
     """Filter without includes."""
     poor = t("customer").where("c_acctbal < 0").select(F.col("c_custkey").alias("o_custkey"))
     return joins.except_rows(t("orders").select("o_orderkey", "o_custkey"), poor, ["o_custkey"])
+
+
+@query("SELECT event_id, NULL::DOUBLE AS last FROM events WHERE event_id % 5 = 0 UNION ALL SELECT e.event_id, (SELECT max_by(value, event_id) FROM events f WHERE f.event_type = e.event_type AND f.event_id % 5 <> 0 AND f.user_id % 7 = e.user_id % 7 AND f.event_id <= e.event_id) FROM events e WHERE event_id % 5 <> 0")
+def join_as_of_nan(t):
+    """Keys that are NaN match nothing."""
+    key = F.when(F.col("event_id") % 5 == 0, F.lit(float("nan"))).otherwise((F.col("user_id") % 7).cast("double"))
+    e = t("events").select("event_id", "event_type", "value", key.alias("key"))
+    found = joins.as_of(e.select("event_id", "event_type", "key"), e, "event_id", "event_id", ["event_type", "key"], ["value"], "event_id")
+    return found.select("event_id", F.col("last.value").alias("last"))

@@ -1,7 +1,9 @@
 """Sources and array methods over rows."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from docframe.functions.values import string_of
 from docframe.operators import order, rows
 from docframe.plans.registry import query
 from docframe.sources import documents
@@ -26,7 +28,27 @@ def source_aliases(t):
 def source_wrapped_records(t):
     """S3: records in a wrapper object's array."""
     item = F.struct("conv_id", "turn", "role", F.length("text").cast("long").alias("n_chars"))
-    return documents.records(t("conversations").groupBy("conv_id").agg(F.collect_list(item).alias("items")))
+    return documents.records(t("conversations").groupBy("conv_id").agg(F.collect_list(item).alias("items")).select("items"))
+
+
+@query("SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id")
+def source_records_beside_a_column(t):
+    """S3: an array beside another column is no wrapper; nothing is lost."""
+    wrapped = documents.records(t("conversations").groupBy("conv_id").agg(F.collect_list(F.struct("turn", "role")).alias("items")))
+    return wrapped.select("conv_id", F.size("items").cast("long").alias("n"))
+
+
+@query("SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 50 OFFSET 12000")
+def rows_slice_deep(t):
+    """A3: a slice far from either end, by places."""
+    return order.slice_rows(t("orders").select("o_orderkey"), [F.col("o_orderkey")], 12000, 12050)
+
+
+@query("SELECT p_partkey, row_number() OVER (ORDER BY CASE WHEN p_retailprice * 10000 = floor(p_retailprice * 10000) THEN CAST(CAST(p_retailprice * 10000 AS BIGINT) AS VARCHAR) END, p_partkey) - 1 AS _pos FROM part WHERE p_retailprice * 10000 = floor(p_retailprice * 10000)")
+def rows_sort_doubles_as_text(t):
+    """Large whole doubles in the order of their own text, without exponents."""
+    p = t("part").select("p_partkey", F.floor(F.col("p_retailprice") * 10000).cast("double").alias("x"), (F.col("p_retailprice") * 10000).alias("y")).where("x = y").drop("y")
+    return order.with_position(p, [string_of(F.col("x"), T.DoubleType()), F.col("p_partkey")]).select("p_partkey", "_pos")
 
 
 @query("""SELECT to_json({'o_orderkey': o_orderkey, 'o_custkey': o_custkey, 'o_orderstatus': o_orderstatus, 'o_orderpriority': o_orderpriority})::VARCHAR AS value FROM orders""")

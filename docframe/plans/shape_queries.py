@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 from docframe.operators import delivery, order, present, schema
 from docframe.plans import pipeline
 from docframe.plans.registry import query
+from docframe.sources import sinks
 from docframe.sources.documents import Sources
 
 
@@ -64,6 +65,40 @@ def schema_aliases(t):
     return schema.infer_aliases({"data": t("events"), "data1": nations}, "props").select("path", "n_present")
 
 
+@query("SELECT '' AS path, 'object' AS types, false AS optional UNION ALL SELECT 'a', 'object', false UNION ALL SELECT 'a.b', 'number', count(*) FILTER (event_id % 3 = 0) > 0 FROM events UNION ALL SELECT 'a.b', 'string', count(*) FILTER (event_id % 2 = 0) > 0 FROM events")
+def schema_dotted_keys(t):
+    """A key with a dot beside a nested one of the same text, each missing from some rows."""
+    e = F.col("event_id")
+    text = F.concat(F.lit('{"a":{'), F.when(e % 3 == 0, "").otherwise(F.lit('"b":1')), F.lit("}"), F.when(e % 2 == 0, "").otherwise(F.lit(',"a.b":"x"')), F.lit("}"))
+    found = schema.infer(t("events").select(text.alias("json")), "json")
+    return found.select("path", schema.union(F.col("types")).alias("types"), "optional")
+
+
+@query("SELECT conv_id, CASE WHEN len(t) > 3 THEN 'any' ELSE array_to_string(t, ' | ') END AS item FROM (SELECT conv_id, list(DISTINCT ['number', 'string', 'null', 'boolean'][turn % 4 + 1] ORDER BY ['number', 'string', 'null', 'boolean'][turn % 4 + 1]) AS t FROM conversations GROUP BY conv_id)")
+def schema_item_type(t):
+    """The type of an array's items."""
+    types = F.array_sort(F.collect_set(F.when(F.col("turn") % 4 == 0, "number").when(F.col("turn") % 4 == 1, "string").when(F.col("turn") % 4 == 2, "null").otherwise("boolean")))
+    return t("conversations").groupBy("conv_id").agg(types.alias("types")).select("conv_id", schema.item_type(F.col("types")).alias("item"))
+
+
+@query("SELECT event_id, event_type || '-' || strftime(ts, '%Y-%m-%dT%H-%M-%S') || '-000Z.csv' AS name FROM events")
+def sink_output_name(t):
+    """Names of outputs by their time."""
+
+    @F.pandas_udf(T.StringType())
+    def named(stem: pd.Series, at: pd.Series) -> pd.Series:
+        return pd.Series([sinks.output_name(s, "csv", x.to_pydatetime()) for s, x in zip(stem, at, strict=True)], dtype=object)
+
+    return t("events").select("event_id", named("event_type", F.date_trunc("second", "ts").cast("timestamp_ntz")).alias("name"))
+
+
+@query(f"""SELECT event_id || ',' || CASE WHEN k % 2 = 0 THEN k::VARCHAR WHEN k % 3 = 0 THEN 'null' ELSE '' END || ',' || CASE WHEN event_type = 'view' THEN '1' ELSE event_type END || ',[object Object]' AS value FROM (SELECT event_id, event_type, {_K} AS k FROM events)""")
+def sink_csv_dynamic(t):
+    """CSV of JSON objects: a missing key is empty, null is null."""
+    o = _objects(t)
+    return present.dynamic_csv_lines(o, "json", present.header(o, "json", F.col("event_id")))
+
+
 @query("SELECT o_orderkey::VARCHAR AS o_orderkey, o_orderstatus, '[1,' || o_custkey || ']' AS pair FROM orders")
 def table_typed(t):
     """Typed rows as cells."""

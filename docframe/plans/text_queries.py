@@ -15,11 +15,11 @@ def text_length_case(t):
     return t("documents").select("doc_id", S.length(F.col("text")).alias("n"), S.upper(F.col("lang")).alias("up"), S.lower(S.upper(F.col("source"))).alias("low"))
 
 
-@query(r"SELECT doc_id, regexp_replace(text[1:30], '^\s+|\s+$', '', 'g') AS trimmed, regexp_replace(chr(9) || lang || ' ', '^\s+', '') AS start_trimmed, regexp_replace(chr(10) || lang || ' ', '\s+$', '') AS end_trimmed FROM documents")
+@query(r"SELECT doc_id, regexp_replace(chr(9) || text || '  ', '^\s+|\s+$', '', 'g') AS trimmed, regexp_replace(chr(9) || lang || ' ', '^\s+', '') AS start_trimmed, regexp_replace(chr(10) || lang || ' ', '\s+$', '') AS end_trimmed FROM documents")
 def text_trim(t):
     """T3."""
     return t("documents").select(
-        "doc_id", S.trim(F.substring("text", 1, 30)).alias("trimmed"), S.trim_start(F.concat(F.lit("\t"), "lang", F.lit(" "))).alias("start_trimmed"), S.trim_end(F.concat(F.lit("\n"), "lang", F.lit(" "))).alias("end_trimmed")
+        "doc_id", S.trim(F.concat(F.lit("\t"), "text", F.lit("  "))).alias("trimmed"), S.trim_start(F.concat(F.lit("\t"), "lang", F.lit(" "))).alias("start_trimmed"), S.trim_end(F.concat(F.lit("\n"), "lang", F.lit(" "))).alias("end_trimmed")
     )
 
 
@@ -58,6 +58,17 @@ def text_char_pad(t):
     return t("nation").select("n_nationkey", S.char_at(x, 1).alias("second"), S.at(x, -3).alias("third_last"), S.pad_start(x, 8, "*").alias("padded"), S.pad_end(x, 12, ".").alias("filled"), S.repeat(x, 2).alias("twice"))
 
 
+@query(r"""SELECT doc_id, regexp_extract(text, 'a.(.)', 0) AS whole, regexp_extract(text, '([a-z])\.([^a-z])', 2) AS after,
+regexp_replace(text, '([a-z])\.([^a-z])', '\1;\2') AS put, regexp_extract(text, '([a-z]).\n', 1) AS line_end FROM (SELECT doc_id, replace(text, 'a' || chr(10), 'b') AS text FROM documents)""")
+def text_match_lines(t):
+    """A dot doesn't take line ends, and all groups are of one match."""
+    x = F.col("text")
+    d = t("documents").select("doc_id", F.replace("text", F.lit("a\n"), F.lit("b")).alias("text"))
+    first = lambda found, k: F.coalesce(F.get(found, F.lit(k)), F.lit(""))
+    point = S.match(x, r"([a-z])\.([^a-z])", 2)
+    return d.select("doc_id", first(S.match(x, "a.(.)", 1), 0).alias("whole"), first(point, 2).alias("after"), S.replace_first_match(x, r"([a-z])\.([^a-z])", "$1;$2").alias("put"), first(S.match(x, "([a-z]).\n", 1), 1).alias("line_end"))
+
+
 @query("SELECT doc_id, CASE WHEN regexp_matches(text, '([A-Z])([a-z]+)') THEN regexp_extract(text, '([A-Z])([a-z]+)', 2) END AS tail, len(regexp_extract_all(text, '[A-Z][a-z]+')) AS n FROM documents")
 def text_match(t):
     """T15, T16."""
@@ -98,10 +109,10 @@ def number_text(t):
     return o.select("o_orderkey", V.number_string(F.col("o_custkey"), T.LongType()).alias("as_text"), V.to_radix(F.col("o_orderkey"), 16).alias("hex"), V.to_fixed(F.col("o_totalprice"), 2).alias("fixed"))
 
 
-@query("SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_quantity AS BIGINT)::VARCHAR AS quantity_text, l_discount::VARCHAR AS discount_text FROM lineitem WHERE l_discount > 0")
+@query("SELECT l_orderkey, l_linenumber, l_quantity, CAST(l_quantity AS BIGINT)::VARCHAR AS quantity_text, CASE WHEN l_discount = 0 THEN '0' ELSE l_discount::VARCHAR END AS discount_text FROM lineitem")
 def number_double_text(t):
     """doubles' text, whole ones without a fraction."""
-    rows = t("lineitem").where("l_discount > 0")
+    rows = t("lineitem")
     return rows.select("l_orderkey", "l_linenumber", "l_quantity", V.number_string(F.col("l_quantity"), T.DoubleType()).alias("quantity_text"), V.number_string(F.col("l_discount"), T.DoubleType()).alias("discount_text"))
 
 
@@ -160,6 +171,35 @@ def object_json(t):
     return df.select("c_custkey", V.to_json_text(F.col("o"), df.schema["o"].dataType).alias("compact"))
 
 
+@query("SELECT l_orderkey, l_linenumber, '{\"price\":' || CASE WHEN l_extendedprice = floor(l_extendedprice) THEN CAST(CAST(l_extendedprice AS BIGINT) AS VARCHAR) ELSE CAST(l_extendedprice AS VARCHAR) END || ',\"text\":\"x,1.0,y\",\"large\":' || CAST(CAST(l_quantity AS BIGINT) * 10000000 AS VARCHAR) || ',\"list\":[' || CAST(CAST(l_quantity AS BIGINT) AS VARCHAR) || ',null,0.00001]}' AS compact FROM lineitem")
+def object_json_numbers(t):
+    """numbers' text inside JSON, and strings that look like numbers."""
+    row = F.struct(F.col("l_extendedprice").alias("price"), F.lit("x,1.0,y").alias("text"), (F.col("l_quantity") * 1e7).alias("large"), F.array("l_quantity", F.lit(None).cast("double"), F.lit(0.00001)).alias("list"))
+    df = t("lineitem").select("l_orderkey", "l_linenumber", row.alias("o"))
+    return df.select("l_orderkey", "l_linenumber", V.to_json_text(F.col("o"), df.schema["o"].dataType).alias("compact"))
+
+
+@query("SELECT l_orderkey, array_to_string(list(CAST(CAST(l_quantity AS BIGINT) * 10000000 AS VARCHAR) ORDER BY l_quantity), ',') AS large FROM lineitem GROUP BY l_orderkey")
+def array_number_text(t):
+    """The text of arrays of doubles."""
+    grouped = t("lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(F.col("l_quantity") * 1e7)).alias("a"))
+    return grouped.select("l_orderkey", V.string_of(F.col("a"), grouped.schema["a"].dataType).alias("large"))
+
+
+@query("SELECT c_custkey, '[object Object]' AS whole FROM customer")
+def object_text(t):
+    """An object's text."""
+    df = t("customer").select("c_custkey", F.struct("c_name", "c_acctbal").alias("o"))
+    return df.select("c_custkey", V.string_of(F.col("o"), df.schema["o"].dataType).alias("whole"))
+
+
+@query("SELECT o_orderkey, CAST(o_orderkey AS DOUBLE) AS hex, CAST(o_custkey AS DOUBLE) AS octal, CAST(o_orderkey AS DOUBLE) AS binary FROM orders")
+def number_coerced_bases(t):
+    """0x, 0o and 0b."""
+    in_base = lambda c, base, sign: V.to_number(F.concat(F.lit(" 0" + sign), F.conv(F.col(c).cast("string"), 10, base)), T.StringType())
+    return t("orders").select("o_orderkey", in_base("o_orderkey", 16, "x").alias("hex"), in_base("o_custkey", 8, "o").alias("octal"), in_base("o_orderkey", 2, "B").alias("binary"))
+
+
 @query("SELECT n_nationkey, '{' || chr(10) || '  \"k\": ' || n_nationkey || ',' || chr(10) || '  \"n\": \"' || n_name || '\"' || chr(10) || '}' AS pretty FROM nation")
 def object_pretty_json(t):
     """O6."""

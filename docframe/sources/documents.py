@@ -28,11 +28,11 @@ def read_dynamic(spark: SparkSession, path: str | list[str], lines: bool = True)
 
 
 def records(df: DataFrame) -> DataFrame:
-    """The rows of a wrapped array: of the only column rows, items or data that is an array of objects, else df itself."""
-    for name in WRAPPERS:
-        kind = df.schema[name].dataType if name in df.columns else None
+    """The rows of a wrapped array: where the only column is rows, items or data and an array of objects; else df itself."""
+    if len(df.columns) == 1 and df.columns[0] in WRAPPERS:
+        kind = df.schema[0].dataType
         if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-            return df.select(F.inline(name))
+            return df.select(F.inline(df.columns[0]))
     return df
 
 

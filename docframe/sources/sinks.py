@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from datetime import datetime
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,10 +37,35 @@ def write_pretty(df: DataFrame, path: str, most_rows: int = 100_000) -> None:
 
 def write_csv(df: DataFrame, path: str, one_file: bool = False) -> None:
     """CSV with a header in each file, in the form of present.csv_lines."""
-    lines = present.csv_lines(df)
-    first = lines.sparkSession.createDataFrame([(present.csv_header(df),)], "value string")
-    if one_file:
-        first.unionByName(lines).coalesce(1).write.text(path)
+    write_lines(present.csv_lines(df), present.csv_header(df), path, one_file)
+
+
+def write_dynamic_csv(df: DataFrame, text: str, keys: list[str], path: str, one_file: bool = False) -> None:
+    """The same for JSON texts by key (present.header gives the union of all keys)."""
+    write_lines(present.dynamic_csv_lines(df, text, keys), ",".join(keys), path, one_file)
+
+
+def write_primitives_csv(df: DataFrame, column: str, path: str, one_file: bool = False) -> None:
+    """The same for single values, under the header Value."""
+    write_csv(df.select(F.col(f"`{column}`").alias("Value")), path, one_file)
+
+
+def with_header(lines: DataFrame, header: str) -> DataFrame:
+    """A header before the lines of each part that has any."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        first = True
+        for batch in batches:
+            if first and batch.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], ["value"])
+                first = False
+            yield batch
+
+    return lines.mapInArrow(run, "value string")
+
+
+def write_lines(lines: DataFrame, header: str, path: str, one_file: bool) -> None:
+    if lines.isEmpty():
+        lines.sparkSession.createDataFrame([(header,)], "value string").coalesce(1).write.text(path)
     else:
-        lines.write.text(path)
-        first.coalesce(1).write.mode("append").text(path + "/_header")
+        with_header(lines.coalesce(1) if one_file else lines, header).write.text(path)

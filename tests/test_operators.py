@@ -218,7 +218,7 @@ def test_chart_series(spark):
 
 def test_stream_delivery_equals_batch(spark, tmp_path):
     df = spark.range(1250).withColumn("v", F.col("id") * 2)
-    delivery.write_chunks(df, [F.col("id")], str(tmp_path / "in"))
+    delivery.write_chunks(df, [F.col("id")], str(tmp_path / "in"), files=3)
     source = str(tmp_path / "in" / "*")
     progress = stream_delivery.deliver(spark, source, df.schema, str(tmp_path / "out"), str(tmp_path / "check"), 1250)
     assert progress.steps[-1] == (1250, 100) and len(progress.steps) >= 3

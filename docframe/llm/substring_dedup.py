@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docframe.llm.common import arrow_rows, bounded, text_of, written
+from docframe.llm.common import arrow_rows, bounded, discard, text_of, written
 from docframe.llm.shingles import blocks, run_hashes, window_hashes, word_ends, word_hashes
 
 
@@ -188,8 +188,8 @@ def _grown(a: list, b: list, i: int, j: int, step: int, drop: int) -> tuple[int,
     return best, best_hits
 
 
-def _accepted(words: list, ref: list, at: list[int], rat: list[int], passages: Passages) -> list[tuple[int, int, int, int, int]]:
-    """The passages (first, last, first and last of ref, matches) of a chain: the whole of it if that is equal enough,
+def _accepted(words: list, ref: list, at: list[int], rat: list[int], passages: Passages) -> list[tuple[int, int, int, int, int, list]]:
+    """The passages (first, last, first and last of ref, matches, stretches of equal words) of a chain: the whole of it if that is equal enough,
     else those of its parts before and after the step with the most unequal words."""
     k, steps = passages.k, []
     for p, q, p2, q2 in zip(at, rat, at[1:], rat[1:], strict=False):
@@ -208,7 +208,12 @@ def _accepted(words: list, ref: list, at: list[int], rat: list[int], passages: P
         first, last, ref_first, ref_last = at[a] - left, at[z] + k + right, rat[a] - left, rat[z] + k + right
         n, n_ref = last - first, ref_last - ref_first
         if min(n, n_ref) >= passages.least_words and 100 * hits >= passages.least_percent * max(n, n_ref):
-            out.append((first, last, ref_first, ref_last, hits))
+            exact, begin = [], a
+            for i in range(a, z + 1):
+                if i == z or steps[i][1]:
+                    exact.append((at[begin], at[i] + k))
+                    begin = i + 1
+            out.append((first, last, ref_first, ref_last, hits, exact))
         elif a < z and max(n, n_ref) >= passages.least_words:
             cut = max(range(a, z), key=lambda i: (steps[i][1], -i))
             if steps[cut][1]:
@@ -227,12 +232,12 @@ def _aligned(passages: Passages):
                     words, raw = _words(text_of_doc)
                 ref, k, base = r["ref"].encode().lower().split(), passages.k, r["rfrom"]
                 at, rat = r["at"], [x - base for x in r["rat"]]
-                for first, last, ref_first, ref_last, hits in _accepted(words, ref, at, rat, passages):
+                for first, last, ref_first, ref_last, hits, exact in _accepted(words, ref, at, rat, passages):
                     n, n_ref = last - first, ref_last - ref_first
-                    rows.append((r["doc"], r["rdoc"], first, n, ref_first + base, n_ref, hits / max(n, n_ref), *_offsets(raw, first, last)))
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 9
-            types = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [c.split()[0] for c in SCHEMA.split(", ")])
+                    rows.append((r["doc"], r["rdoc"], first, n, ref_first + base, n_ref, hits / max(n, n_ref), *_offsets(raw, first, last), [a for a, _ in exact], [z for _, z in exact]))
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * 11
+            types = [pa.int64()] * 6 + [pa.float64()] + [pa.int64()] * 2 + [pa.list_(pa.int32())] * 2
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [*(c.split()[0] for c in SCHEMA.split(", ")), "exact", "exact_end"])
 
     return run
 
@@ -254,19 +259,26 @@ WINDOWS = "doc_id long, start_word long, start_char long, end_char long, hash lo
 
 
 def _windowed(passages: Passages):
-    """A hash of each least_words words in a document's regions."""
+    """A hash of each least_words words in a document's regions, but for those within a stretch that equals a smaller
+    document's: that one has them, or one that is smaller still."""
     size = passages.least_words
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for doc, starts, ends, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+            for doc, starts, ends, exact, exact_end, text in zip(*[c.to_pylist() for c in batch.columns], strict=True):
                 data = np.frombuffer(text.encode(), np.uint8)
                 hashes, _, begins = word_hashes(data, np.array([0, len(data)]))
                 chars = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])
                 begin, end = chars[begins], chars[word_ends(data)]
+                reach = np.zeros(len(hashes) + 1, np.int64)
+                for a, z in zip(exact or (), exact_end or (), strict=True):
+                    reach[a] = max(reach[a], z)
+                reach = np.maximum.accumulate(reach)
                 for a, z in zip(starts, ends, strict=True):
                     found = run_hashes(hashes[a:z], size).view(np.int64)
                     at = a + np.arange(len(found))
+                    new = reach[at] < at + size
+                    at, found = at[new], found[new]
                     if len(found):
                         yield pa.RecordBatch.from_arrays(
                             [pa.array(np.full(len(found), doc)), pa.array(at), pa.array(begin[at]), pa.array(end[at + size - 1]), pa.array(found)], [c.split()[0] for c in WINDOWS.split(", ")]
@@ -373,16 +385,21 @@ def repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text",
         copies = texts.withColumnRenamed("id", "rdoc").join(bounded(hot, n_hot), "rdoc").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         with_ref = with_ref.unionByName(rows.join(copies, ["rdoc", "part"]).select(*columns))
     both = with_ref.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "rdoc", "at", "rat", "rfrom", "ref", "text")
-    regions = chained.where("rdoc is null").select("doc", "at", "rat")
-    windows = regions.join(dealt.withColumnRenamed("id", "doc"), "doc").select("doc", "at", "rat", "text").mapInArrow(_windowed(passages), WINDOWS)
-    # in one job, so that the texts' exchange serves both
-    found = written(both.mapInArrow(_aligned(passages), SCHEMA).unionByName(windows, allowMissingColumns=True))
-    aligned, windows = found.where("hash is null").drop("hash"), found.where("hash is not null").select(*[c.split()[0] for c in WINDOWS.split(", ")])
+    aligned = written(both.mapInArrow(_aligned(passages), SCHEMA + ", exact array<int>, exact_end array<int>"))
+    each = F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))
+    lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("exact", "exact_end")]
+    spans = written(aligned.groupBy("doc_id").agg(F.collect_list(each).alias("spans"), *lists))
+    regions = chained.where("rdoc is null").join(spans.select(F.col("doc_id").alias("doc"), "exact", "exact_end"), "doc", "left")
+    windows = regions.join(texts.withColumnRenamed("id", "doc"), "doc").select("doc", "at", "rat", "exact", "exact_end", "text")
+    windows = written(windows.mapInArrow(_windowed(passages), WINDOWS))
+    discard(chained)
+    aligned = aligned.drop("exact", "exact_end")
+    discard(first)
     first = windows.groupBy("hash").agg(F.min(F.struct("doc_id", "start_word")).alias("first"), F.max("doc_id").alias("last")).where("first.doc_id <> last")
     first = written(first.select("hash", F.col("first.doc_id").alias("rdoc"), F.col("first.start_word").alias("rpos")))
     later = windows.join(first, "hash").where("doc_id <> rdoc").groupBy("doc_id").agg(F.collect_list(F.struct("start_word", "start_char", "end_char", "rdoc", "rpos")).alias("windows"))
-    spans = aligned.groupBy("doc_id").agg(F.collect_list(F.struct("start_word", (F.col("start_word") + F.col("n_words")).alias("end_word"))).alias("spans"))
-    rest = later.join(spans, "doc_id", "left").select("doc_id", "windows", "spans")
+    rest = later.join(spans.select("doc_id", "spans"), "doc_id", "left").select("doc_id", "windows", "spans")
     with arrow_rows(docs.sparkSession, 256):
         rest = written(rest.mapInArrow(_settled(passages), SCHEMA))
+    discard(windows, first, spans)
     return aligned.unionByName(rest)

@@ -13,28 +13,31 @@ ORACLE_SQL = None
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is told; those without letters, of no clear language or unlike their language go."""
+    """Documents whose language is told; those without letters, of no clear language or unlike their language go. Rows of
+    one id, and those of null id, stay if one of them does. No rows give no rows; other columns pass through."""
     found = language_id.identify(docs, sites_of(table(spark, sf_dir, "pages")))
-    return docs.join(found.where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(docs.columns)
+    kept = found.where("kept").select(found["doc_id"].alias("_kept")).distinct()
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest id."""
+    """Of equal texts the row with the largest id; null text counts as empty, and a null id stays where there is no other."""
     return exact_dedup.exact_dedup(docs, keep="largest")
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of linked texts."""
+    """One document of each class of linked texts; texts without words are linked with nothing, and rows of null id stay."""
     return jaccard_join.one_of_each(docs)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by the rates that give the domains their target shares, with room to keep the good ones whole."""
+    """Documents drawn by the rates that give the domains their target shares, with room to keep the good ones whole;
+    rows of null id share one draw."""
     return mixing.mixed(docs, domain_labels(table(spark, sf_dir, "labels")), mix=mixing.Mix(stretch=1.1))
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of the packed sequences."""
+    """The pieces of the packed sequences; null text is the end id alone, and null ids are carried along."""
     return digest(packing.pack(docs))
 
 

@@ -59,7 +59,7 @@ def with_header(lines: DataFrame, header: str) -> DataFrame:
             if first and batch.num_rows:
                 yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], ["value"])
                 first = False
-            yield batch
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string())], ["value"])
 
     return lines.mapInArrow(run, "value string")
 

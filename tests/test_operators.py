@@ -151,8 +151,15 @@ def test_csv_reads_back(spark, tmp_path):
     sinks.write_csv(df, path, one_file=True)
     text = "".join(p.read_text() for p in sorted((tmp_path / "out").glob("part-*")))
     assert list(csv.reader(io.StringIO(text))) == [["x", "y", "z"], ["a,b", 'say "hi"', "line\nbreak"], [" lead ", "", "null"]]
-    sinks.write_csv(df, str(tmp_path / "many"))
-    assert (tmp_path / "many").is_dir()
+    sinks.write_csv(spark.range(20).repartition(3).select("id", F.lit(None).cast("string").alias("n")), str(tmp_path / "many"))
+    parts = [p.read_text().split() for p in (tmp_path / "many").glob("part-*") if p.stat().st_size]
+    assert len(parts) == 3 and all(p[0] == "id,n" for p in parts)
+    assert sorted(x for p in parts for x in p[1:]) == sorted(f"{k},null" for k in range(20))
+    objects = spark.createDataFrame([('{"a":1.50,"b":[1,null,[2,3]]}',), ('{"b":null}',)], "t string")
+    sinks.write_dynamic_csv(objects, "t", ["a", "b"], str(tmp_path / "dynamic"), one_file=True)
+    sinks.write_primitives_csv(spark.range(0), "id", str(tmp_path / "none"))
+    read = lambda name: "".join(p.read_text() for p in (tmp_path / name).glob("part-*"))
+    assert read("dynamic") == 'a,b\n1.5,"1,,2,3"\n,null\n' and read("none") == "Value\n"
 
 
 def test_json_sinks(spark, tmp_path):

@@ -98,14 +98,19 @@ def _vectorised(f) -> Column:
 
 
 def number_string(value: Column, kind: T.DataType) -> Column:
-    """A number's text, as number_text has it, in built-in functions; null stays null."""
+    """A number's text, as number_text has it, in built-in functions; null stays null. It reads back as the same number;
+    before Java 19 the last of 17 digits is another one for a few numbers in ten thousand."""
     if isinstance(kind, _INTEGERS):
         return value.cast("string")
     x = value.cast("double")
     text = F.abs(x).cast("string")
+    # some runtimes write more digits than it takes to read back as the same number
+    fewer = [F.upper(F.format_string(f"%.{n}e", F.abs(x))) for n in (15, 16)]
+    same = [(F.length(text) >= 17) & (t.try_cast("double") == F.abs(x)) for t in fewer]
+    text = F.when(same[0], fewer[0]).when(same[1], fewer[1]).otherwise(text)
     # digits and the place of the point, from a text such as 1.25E-7
     power = F.substring_index(text, "E", -1).cast("int")
-    digits = F.regexp_replace(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), "(?<=.)0$", "")
+    digits = F.regexp_replace(F.replace(F.substring_index(text, "E", 1), F.lit("."), F.lit("")), "(?<=.)0+$", "")
     point, n = power + 1, F.length(digits)
     scientific = F.concat(
         F.substring(digits, 1, 1), F.when(n > 1, F.concat(F.lit("."), F.substring(digits, F.lit(2), n))).otherwise(""),

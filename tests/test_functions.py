@@ -1,6 +1,7 @@
 """Column functions against hand-made expectations."""
 
 import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -43,6 +44,11 @@ def test_number_columns(spark):
     d = T.DoubleType()
     df = spark.createDataFrame([(1.0,), (None,), (math.nan,), (1e21,)], "x double")
     assert [r[0] for r in df.select(V.number_string(F.col("x"), d)).collect()] == ["1", None, "NaN", "1e+21"]
+    rng = random.Random(1)
+    many = [rng.choice([1, -1]) * rng.random() * 10.0 ** rng.randint(-30, 30) for _ in range(500)] + [10.0**k for k in range(-9, 24)] + [2e23, 161304845894623140.0, 5097654563224752000.0, -0.0]
+    found = spark.createDataFrame([(x,) for x in many], "x double").select("x", V.number_string(F.col("x"), d)).collect()
+    assert all(float(b) == a for a, b in found)
+    assert sum(b == V.number_text(a) for a, b in found) >= 0.99 * len(found)
     assert [r[0] for r in df.select(V.to_fixed(F.col("x"), 1)).collect()] == ["1.0", None, "NaN", "1e+21"]
     assert one(spark, V.to_radix(F.lit(255), 16), V.to_radix(F.lit(-255), 2)) == ("ff", "-11111111")
     s = T.StringType()

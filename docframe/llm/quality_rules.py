@@ -24,7 +24,6 @@ class Limits:
     max_char_distance: float = 0.30
     max_word_distance: float = 0.50
     common_words: int = 24
-    common_chars: int = 8
     common_share: float = 0.002
     language_share: float = 0.001
     repeat_window: int = 5
@@ -44,24 +43,23 @@ def js_distance(p: Column, q: Column) -> Column:
 def base_counts(docs: DataFrame, text: str, window: int = 5) -> DataFrame:
     """Adds n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words (all long) and the array `_words` to docs.
 
-    Repeated windows: each window's words are put behind their hash, sorted, and compared with the next in full, so a
-    hash clash can't count as a repeat; the cost grows as n log n.
+    Repeated windows: hashes of each window's words are sorted with their places, and a window whose hash is its
+    neighbour's is compared with it in full, so a hash clash can't count as a repeat; the cost grows as n log n.
     """
     t = F.col(text)
     lines = F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    shifted = [F.slice(F.col("_words"), k + 1, F.greatest(F.size("_words") - F.lit(window - 1), F.lit(0))) for k in range(window)]
-    out = (
-        docs.withColumn("_words", words_of(t))
-        .withColumn("_lines", lines)
-        .withColumn("_windows", F.arrays_zip(*[s.alias(f"w{k}") for k, s in enumerate(shifted)]))
-    )
-    keyed = F.transform("_windows", lambda z, i: F.struct(F.xxhash64(z).alias("h"), z.alias("z"), i.alias("i")))
-    out = out.withColumn("_sorted", F.sort_array(keyed)).drop("_windows")
-    pairs = F.arrays_zip(F.col("_sorted").alias("a"), F.slice("_sorted", 2, F.greatest(F.size("_sorted"), F.lit(1))).alias("b"))
-    same = F.filter(pairs, lambda p: (p["a"]["h"] == p["b"]["h"]) & (p["a"]["z"] == p["b"]["z"]))
-    starts = F.flatten(F.transform(same, lambda p: F.array(p["a"]["i"], p["b"]["i"])))
-    out = out.withColumn("_starts", F.sort_array(F.array_distinct(starts))).drop("_sorted")
-    gaps = F.zip_with("_starts", F.slice("_starts", 2, F.greatest(F.size("_starts"), F.lit(1))), lambda a, b: F.least(F.coalesce(b - a, F.lit(window)), F.lit(window)))
+    out = docs.withColumn("_words", words_of(t)).withColumn("_lines", lines).withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
+    places = F.slice("_hashes", 1, F.greatest(F.size("_hashes") - F.lit(window - 1), F.lit(0)))
+    keyed = F.transform(places, lambda h, i: F.struct(F.xxhash64(h, *[F.get("_hashes", i + k) for k in range(1, window)]).alias("h"), i.alias("i")))
+    out = out.withColumn("_sorted", F.sort_array(keyed)).drop("_hashes")
+
+    def equal(x: Column, y: Column) -> Column:
+        own = lambda z: F.slice("_words", z["i"] + 1, window)
+        return F.coalesce((x["h"] == y["h"]) & (own(x) == own(y)), F.lit(False))
+
+    again = F.filter("_sorted", lambda x, k: equal(x, F.get("_sorted", k - 1)) | equal(x, F.get("_sorted", k + 1)))
+    out = out.withColumn("_starts", F.sort_array(F.transform(again, lambda x: x["i"]))).drop("_sorted")
+    gaps = F.transform("_starts", lambda x, k: F.least(F.coalesce(F.get("_starts", k + 1) - x, F.lit(window)), F.lit(window)))
     return out.select(
         "*",
         F.size("_words").cast("long").alias("n_words"),
@@ -91,15 +89,15 @@ def shares(counts: Column) -> Column:
 
 def language_words(texts: DataFrame, limits: Limits) -> DataFrame:
     """One row per language of at least language_share of the documents, and one under the name of null for all others:
-    `ref` and `common`, its most frequent words. A common word is one of at most common_chars characters with
-    common_share of the words of its language: there are at most 1 / common_share of them, and at most
-    1 / language_share languages, whatever the corpus."""
+    `ref` and `common`, its most frequent words. A common word is one with common_share of the words of its language, of
+    whatever length: there are at most 1 / common_share of them, and at most 1 / language_share languages, whatever the
+    corpus."""
     sizes = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("n_docs"))
     n_docs = sizes.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
     large = sizes.where(F.col("lang").isNotNull() & (F.col("n_docs") >= limits.language_share * n_docs)).select("lang", F.col("lang").alias("ref"))
     word = (
         texts.select("lang", F.explode(F.split(F.lower("text"), SPACE)).alias("w"))
-        .where((F.length("w") > 0) & (F.length("w") <= limits.common_chars))
+        .where("w <> ''")
         .groupBy("lang", "w").agg(F.count(F.lit(1)).alias("n"))
         .join(F.broadcast(large), "lang", "left")
         .groupBy("ref", "w").agg(F.sum("n").alias("n"))

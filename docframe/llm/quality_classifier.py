@@ -46,8 +46,9 @@ def judge(docs: DataFrame, labels: DataFrame, places: DataFrame, *, id_col: str
 
     Evidence: naive Bayes log-odds of good against bad. Each document's share of good under the labels' prior is summed
     by path with map-side partials, paths by host, hosts in all. A host's mean is shrunk to the global mean, a path's to
-    its host's, by prior weights from the spread of sites; a path's mean leaves the document itself out. The posterior's
-    log-odds are the text's plus the path's.
+    its host's, by prior weights from the spread of sites. The means of all three levels leave the document itself out,
+    so that its own text counts once, however few documents its site has. The posterior's log-odds are the text's plus
+    the path's.
 
     Defined results: null text counts as empty, with evidence 0; a null source or section is a site of its own; without
     labelled rows all evidence is 0 and everything is kept; repeated rows have a result each; no rows give no rows;
@@ -70,10 +71,13 @@ def judge(docs: DataFrame, labels: DataFrame, places: DataFrame, *, id_col: str
     mean = total["g"] / total["n"] if total["n"] else 0.5
     k_host = _prior_weight(hosts, F.col("good_h"), F.col("n_h"), F.lit(mean), sites)
     hosts = hosts.withColumn("mean_h", (F.col("good_h") + F.lit(k_host * mean)) / (F.col("n_h") + F.lit(k_host)))
-    both = written(paths.join(hosts.select("host", "mean_h"), "host"))
+    both = written(paths.join(hosts, "host"))
     k_path = _prior_weight(both, F.col("good_p"), F.col("n_p"), F.col("mean_h"), sites)
     joined = scored.join(both, ["host", "path"])
-    path_quality = (F.col("good_p") - F.col("share") + k_path * F.col("mean_h")) / (F.col("n_p") - 1 + F.lit(k_path))
+    own_share, rest = F.col("share"), (total["n"] or 0) - 1
+    global_mean = (F.lit(total["g"]) - own_share) / F.lit(rest) if rest > 0 else F.lit(0.5)
+    host_mean = (F.col("good_h") - own_share + k_host * global_mean) / (F.col("n_h") - 1 + F.lit(k_host))
+    path_quality = (F.col("good_p") - own_share + k_path * host_mean) / (F.col("n_p") - 1 + F.lit(k_path))
     joined = joined.withColumn("path_quality", path_quality).withColumn("quality", 1 / (1 + F.exp(-(F.col("odds") + _logit(F.col("path_quality"))))))
     # rows that were scored together are taken apart again
     each = joined.withColumn("_", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times"))))

@@ -1,9 +1,11 @@
 """Exact dedup, quality rules, quality classifier and mixing."""
 
 import hashlib
+import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -70,6 +72,36 @@ def test_quality_rules_reject_junk_and_keep_clean(spark):
     assert quality_rules.judge(empty_docs(spark)).count() == 0
 
 
+def test_quality_rules_distances_against_plain_python(spark):
+    rows = [(k, prose(k, 40 + k), "en" if k % 2 else "de") for k in range(40)] + [(50, "Extraordinarily " * 60 + prose(7, 30), "en"), (51, "ab 12 ?! " * 40, "de")]
+    got = {r["doc_id"]: r for r in quality_rules.judge(spark.createDataFrame(rows, "doc_id long, text string, lang string")).collect()}
+    limits = quality_rules.Limits()
+    classes = [r"[a-z]", r"[A-Z]", r"[\x20\x09-\x0D]", r"[.,;:!?'\"()-]", r"[0-9]"]
+
+    def js(p, q):
+        part = lambda a, b: a * math.log2(2 * a / (a + b)) if a > 0 else 0.0
+        return math.sqrt(max(0.0, sum((part(a, b) + part(b, a)) / 2 for a, b in zip(p, q, strict=True))))
+
+    for lang in ("en", "de"):
+        own = {k: t for k, t, x in rows if x == lang}
+        census = Counter(w for t in own.values() for w in t.lower().split())
+        top = sorted((-n, w) for w, n in census.items() if n >= limits.common_share * census.total())
+        common = [w for _, w in top][: limits.common_words]
+        chars, words = {}, {}
+        for k, t in own.items():
+            hits = [len(re.findall(c, t)) for c in classes]
+            if len(t) >= limits.min_chars:
+                chars[k] = [n / len(t) for n in [*hits, len(t) - sum(hits)]]
+            seen = Counter(t.lower().split())
+            if seen.total() >= limits.min_words:
+                found = [seen[w] for w in common]
+                words[k] = [n / seen.total() for n in [*found, *[0] * (limits.common_words - len(found)), seen.total() - sum(found)]]
+        for name, hist in (("char_distance", chars), ("word_distance", words)):
+            mean = [sum(x) / len(hist) for x in zip(*hist.values(), strict=True)]
+            for k in own:
+                assert got[k][name] == (pytest.approx(js(hist[k], mean), abs=1e-9) if k in hist else None)
+
+
 def test_quality_classifier_shrinks_sparse_sites(spark):
     rows, labels, places = [], [], []
     for k in range(200):
@@ -95,11 +127,34 @@ def test_quality_classifier_edges(spark):
     assert quality_classifier.judge(empty_docs(spark), labels, places).count() == 0
 
 
+def test_quality_classifier_against_plain_means(spark):
+    rows = [(k, "junk spam pills buy now " * 3 + prose(k, 20) if k % 3 == 0 else prose(k, 60)) for k in range(90)]
+    places = [(k, f"h{k % 5}", f"/{k % 2}") for k in range(88)] + [(88, "alone", "/"), (89, "single", "/")]
+    labels = spark.createDataFrame([(k, "bad" if k % 3 == 0 else "good") for k in range(60)], "id long, label string")
+    docs = spark.createDataFrame([(*r, "en", "x") for r in rows], "doc_id long, text string, lang string, source string")
+    sites = quality_classifier.Sites(least_weight=5.0, most_weight=5.0)
+    got = {r["doc_id"]: r for r in quality_classifier.judge(docs, labels, spark.createDataFrame(places, "id long, host string, path string"), sites=sites).collect()}
+    site = {k: (h, p) for k, h, p in places}
+
+    def shrunk(own, centre):
+        return (sum(own) + 5.0 * centre) / (len(own) + 5.0)
+
+    for k, r in got.items():
+        others = [(site[j], x["text_quality"]) for j, x in got.items() if j != k]
+        on_host = shrunk([q for (h, _), q in others if h == site[k][0]], sum(q for _, q in others) / len(others))
+        assert r["path_quality"] == pytest.approx(shrunk([q for s, q in others if s == site[k]], on_host))
+
+
 def test_quality_classifier_on_held_out_labels(spark, sf_dir):
-    labels = {r["doc_id"]: r["quality"] for r in Q.table(spark, sf_dir, "labels").collect()}
-    got = {r["doc_id"]: r["kept"] for r in Q.op1_quality_classifier(spark, sf_dir).collect()}
-    good = [got[k] for k, q in labels.items() if q == 1]
-    assert sum(good) / len(good) > 0.98
+    rows = Q.table(spark, sf_dir, "labels").collect()
+    labels = spark.createDataFrame([(r["doc_id"], "good" if r["quality"] == 1 else "bad") for r in rows if r["doc_id"] % 2], "id long, label string")
+    docs, places = Q.table(spark, sf_dir, "documents"), Q.sites_of(Q.table(spark, sf_dir, "pages"))
+    got = {r["doc_id"]: r for r in quality_classifier.judge(docs, labels, places).collect()}
+    held = [(got[r["doc_id"]], r["quality"]) for r in rows if r["doc_id"] % 2 == 0]
+    good, bad = [g for g, q in held if q == 1], [g for g, q in held if q == 0]
+    ranked = [(g["quality"] > b["quality"]) + 0.5 * (g["quality"] == b["quality"]) for g in good for b in bad]
+    assert sum(ranked) / len(ranked) > 0.7
+    assert sum(g["kept"] for g in good) / len(good) > 0.95
 
 
 def test_mixing_meets_targets(spark):
@@ -116,6 +171,45 @@ def test_mixing_meets_targets(spark):
     assert (got.rate >= 0).all()
 
 
+def test_mixing_of_bounded_rates_keeps_shares_and_the_scarcest_domain(spark):
+    rows, labels = [], []
+    for k in range(400):
+        kind = ("good", "plain", "plain", "toxic")[k % 4]
+        rows.append((k, prose(k, 30 + k % 40) + (" spam pills" if kind == "plain" else " idiot moron" if kind == "toxic" else " lovely kind")))
+        labels.append((k, kind))
+    docs, known = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "id long, label string")
+    want = {"good": 0.6, "plain": 0.3, "toxic": 0.1}
+    mix = mixing.Mix(targets=want, stretch=1.1, most_rate=1.0)
+    got = mixing.rates(docs, known, mix=mix).toPandas()
+    names = list(want)
+    p, tokens, r = got[[f"p_{k}" for k in names]].to_numpy(), got.tokens.to_numpy(), got.rate.to_numpy()
+    sums = (r * tokens) @ p
+    assert r.min() >= 0 and r.max() <= 1
+    assert sums / sums.sum() == pytest.approx(list(want.values()), abs=0.01)
+    assert sums[0] > 0.97 * (tokens @ p)[0]
+    kept = {x["doc_id"] for x in mixing.mixed(docs, known, mix=mixing.Mix(targets=want, stretch=1.1)).collect()}
+    assert sum(k % 4 == 0 for k in kept) > 95 and 0.2 < sum(k % 4 in (1, 2) for k in kept) / len(kept) < 0.4
+
+
+def test_mixing_reaches_the_least_squares_optimum(spark):
+    rows = [(k, prose(k, 20 + k % 50) + (" spam pills" if k % 3 else " lovely kind") * (k % 4)) for k in range(200)]
+    labels = spark.createDataFrame([(k, "plain" if k % 3 else "good") for k in range(200)], "id long, label string")
+    # more of the scarce domain than any rates give without the other: the fit is a compromise
+    mix = mixing.Mix(targets={"good": 0.97, "plain": 0.03}, size=0.5, tolerance=1e-6, most_rounds=200)
+    got = mixing.rates(spark.createDataFrame(rows, "doc_id long, text string"), labels, mix=mix).toPandas()
+    p, tokens = got[["p_good", "p_plain"]].to_numpy(), got.tokens.to_numpy()
+    whole = tokens @ p
+    target = [0.97 * 0.5 * tokens.sum(), 0.03 * 0.5 * tokens.sum()]
+
+    def loss(r):
+        return ((((r * tokens) @ p - target) ** 2) / whole).sum()
+
+    r = np.ones(len(tokens))
+    for _ in range(20_000):
+        r = np.maximum(0, r - p @ (((r * tokens) @ p - target) / whole))
+    assert loss(got.rate.to_numpy()) <= loss(r) + 1e-4 * tokens.sum()
+
+
 def test_mixing_edges(spark):
     labels = spark.createDataFrame([], "id long, label string")
     got = mixing.rates(awkward_docs(spark), labels).collect()

@@ -26,12 +26,14 @@ LARGE = 64
 class Join:
     """percent: the least similarity of a link. order_size: how many of the most frequent shingles are ranked by their
     counts; the rest come before them in the order of their hashes. The order decides how much work there is, never the
-    result. A ranked shingle's rows are dealt to spread_parts tasks."""
+    result. A ranked shingle's rows are dealt to spread_parts tasks. Of the rest, blocks of about block_rows of a
+    shingle's texts are held against all of its texts."""
 
     words: int = 5
     percent: int = 75
     order_size: int = 1 << 16
     spread_parts: int = 64
+    block_rows: int = 2048
     chunk: int = 1 << 20
     batch_rows: int = 1024
 
@@ -165,14 +167,34 @@ def _stars(posting: DataFrame, join: Join) -> DataFrame:
     return near.where("a is not null and a.id <> b.id").where(_possible("a", "b", join.percent)).select(F.col("a.id").alias("a"), F.col("b.id").alias("b"))
 
 
-def _reclassed(posting: DataFrame, linked: DataFrame) -> DataFrame:
-    """posting with each text's class as the links make it; written, without the shingles whose texts are of one class."""
-    label = components(linked.select(F.col("a").alias("u"), F.col("b").alias("v")))
+def _reclassed(posting: DataFrame, label: DataFrame) -> DataFrame:
+    """posting with each text's class by its label; written, without the shingles whose texts are of one class."""
     named = posting.drop("class").join(label.withColumnRenamed("node", "id"), "id", "left").withColumn("class", F.coalesce("component", "id")).drop("component")
     mixed = named.groupBy("token").agg(F.min("class").alias("lo"), F.max("class").alias("hi")).where("lo <> hi").select("token")
     return written(named.join(mixed, "token", "left_semi"))
 
 
+def _shared(left: DataFrame, join: Join) -> DataFrame:
+    """Pairs (a, b) of rows that share a shingle. Where a shingle has more than block_rows texts, those of side a are dealt
+    to blocks, each of which meets all of side b, so that no task holds all pairs of one shingle."""
+    many = left.groupBy("token").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > join.block_rows)
+    many = many.select("token", F.ceil(F.col("rows") / F.lit(join.block_rows)).cast("long").alias("blocks"))
+    dealt = left.join(many, "token", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    row = F.struct("id", "n", "pos", "class", *SKETCH_COLS)
+    a = dealt.select("token", F.pmod(F.xxhash64("id"), F.col("blocks")).alias("block"), row.alias("a"))
+    b = dealt.select("token", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("block"), row.alias("b"))
+    return a.join(b, ["token", "block"])
+
+
+def _joined(first: DataFrame, links: DataFrame) -> DataFrame:
+    """first: (node, component); links: (a, b) found after it. The components of both: links tie first's components."""
+    of = lambda c: first.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))
+    named = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    second = components(named.select(F.coalesce("ca", "a").alias("u"), F.coalesce("cb", "b").alias("v")))
+    moved = second.select(F.col("node").alias("component"), F.col("component").alias("least"))
+    return first.join(moved, "component", "left").select("node", F.coalesce("least", "component").alias("component")).unionByName(second)
+
+
 def classes(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", join: Join = Join()) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, n_links_found (pairs verified as links that touch the
     row's representative; links that could not change a class are not looked for).
@@ -219,12 +241,12 @@ def _classes(texts: DataFrame, id_col: str, join: Join) -> DataFrame:
     posting = written(shared.join(reps, "id").withColumn("class", F.col("id")))
 
     tried = _verify(_stars(posting, join), texts, large, join)
-    left = _reclassed(posting, tried.where("linked"))
+    first = components(tried.where("linked").select(F.col("a").alias("u"), F.col("b").alias("v")))
+    left = _reclassed(posting, first)
 
-    a, b = (left.select("token", F.struct("id", "n", "pos", "class", *SKETCH_COLS).alias(x)) for x in "ab")
     need = F.ceil(join.percent * (F.col("a.n") + F.col("b.n")) / F.lit(100 + join.percent))
     ahead = F.col("a.n") - F.ceil(F.lit(2 * join.percent) * F.col("a.n") / F.lit(100 + join.percent)) + 1
-    rest = a.join(b, "token").where(
+    rest = _shared(left, join).where(
         (F.col("a.class") != F.col("b.class"))
         & ((F.col("a.n") < F.col("b.n")) | ((F.col("a.n") == F.col("b.n")) & (F.col("a.id") < F.col("b.id"))))
         & (F.col("a.pos") < ahead)
@@ -234,7 +256,7 @@ def _classes(texts: DataFrame, id_col: str, join: Join) -> DataFrame:
     rest = written(rest.select(F.least("a.id", "b.id").alias("a"), F.greatest("a.id", "b.id").alias("b")).distinct())
     found = _verify(rest.join(tried.select("a", "b"), ["a", "b"], "left_anti"), texts, large, join)
     links = written(tried.where("linked").select("a", "b").unionByName(found.where("linked").select("a", "b")))
-    final = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
+    final = _joined(first, found.where("linked").select("a", "b"))
     touching = links.select(F.explode(F.array("a", "b")).alias("rep")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links_found"))
     return (
         member.join(final.withColumnRenamed("node", "rep"), "rep", "left").join(touching, "rep", "left")

@@ -289,7 +289,7 @@ def test_jaccard_classes_of_awkward_rows(spark):
 @pytest.mark.parametrize("seed", [3, 8])
 def test_jaccard_classes_of_a_hot_group(spark, seed):
     rows = near_copies(spark, seed, 140) + [(2000 + k, prose(900 + k, 60)) for k in range(40)]
-    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), join=jaccard_join.Join(order_size=64, spread_parts=3)).collect()
+    got = jaccard_join.classes(spark.createDataFrame(rows, "doc_id long, text string"), join=jaccard_join.Join(order_size=64, spread_parts=3, block_rows=4)).collect()
     want = plain_classes(rows)
     assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docframe.llm import exact_dedup, html_extract, jaccard_join, language_id, mixing, packing, pii, quality_classifier, quality_rules, substring_dedup
-from docframe.llm.common import table, written  # noqa: F401
+from docframe.llm.common import table
 
 
 def sites_of(pages: DataFrame) -> DataFrame:
@@ -71,7 +71,24 @@ def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard_join.classes(table(spark, sf_dir, "documents"))
+    return jaccard_join.classes(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
+OP9_SQL = r"""
+WITH RECURSIVE texts AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words
+  FROM documents),
+word AS (SELECT doc_id, unnest(words) AS w, generate_subscripts(words, 1) AS i FROM texts),
+run AS (
+  SELECT doc_id, i, lead(w, 4) OVER own AS fifth, concat_ws(' ', w, lead(w, 1) OVER own, lead(w, 2) OVER own, lead(w, 3) OVER own, lead(w, 4) OVER own) AS s
+  FROM word WINDOW own AS (PARTITION BY doc_id ORDER BY i)),
+shingle AS (SELECT DISTINCT doc_id, s FROM run WHERE fifth IS NOT NULL OR i = 1),
+sizes AS (SELECT doc_id, count(s) AS n FROM documents LEFT JOIN shingle USING (doc_id) GROUP BY doc_id),
+shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n_both FROM shingle a JOIN shingle b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT a, b FROM shared JOIN sizes m ON m.doc_id = a JOIN sizes n ON n.doc_id = b WHERE 100 * n_both >= 75 * (m.n + n.n - n_both)),
+reach AS (SELECT doc_id, doc_id AS other FROM documents UNION SELECT reach.doc_id, b FROM reach JOIN links ON a = other)
+SELECT doc_id, any_value(n) AS n_shingles, min(other) AS component_id FROM reach JOIN sizes USING (doc_id) GROUP BY doc_id
+"""
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -90,4 +107,4 @@ QUERIES = {
     "op9_jaccard_join": op9_jaccard_join,
     "op10_html_extraction": op10_html_extraction,
 }
-ORACLES = {"op3_exact_dedup": OP3_SQL}
+ORACLES = {"op3_exact_dedup": OP3_SQL, "op9_jaccard_join": OP9_SQL}

@@ -14,6 +14,7 @@ import pytest
 from docframe.llm import components, html_extract, jaccard_join, language_id, packing, pii, substring_dedup
 from docframe.llm import queries as Q
 from docframe.llm.tokens import BlockTokens
+from tests.compare import connect, difference
 from tests.llm.fixtures import awkward_docs, empty_docs, prose
 
 
@@ -300,6 +301,10 @@ def test_jaccard_on_documents(spark, sf_dir):
     assert got == plain_classes(rows)
 
 
+def test_jaccard_equals_sql(spark, sf_dir):
+    assert difference(Q.op9_jaccard_join(spark, sf_dir), connect(sf_dir), Q.OP9_SQL) is None
+
+
 def test_components_of_paths_and_stars(spark):
     links = [(k, k + 1) for k in range(60)] + [(100, k) for k in range(101, 140)] + [(5, 5)]
     got = {r["node"]: r["component"] for r in components.components(spark.createDataFrame(links, "u long, v long")).collect()}

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,13 +28,14 @@ def primitives(df: DataFrame, column: str) -> DataFrame:
     return df.select(cell(F.col(column), df.schema[column].dataType).alias("Value"))
 
 
-def header(df: DataFrame, text: str, order_by: Column, first: int | None = None) -> list[str]:
+def header(df: DataFrame, text: str, order_by: Column, first: int | None = None, known: Sequence[str] = ()) -> list[str]:
     """Keys of a column of JSON objects in first-seen order; of the first rows of the order only, where `first` is given.
-    What is gathered is one row for each key."""
+    Keys that are known beforehand come before the others, in the order given, whether or not any row has them; without
+    them the order hangs on which keys the first rows lack. What is gathered is one row for each key."""
     rows = df.select(F.col(text).alias("t"), order_by.alias("o"))
     rows = rows.orderBy("o").limit(first) if first is not None else rows
     keys = rows.select("o", F.posexplode(values.json_keys(F.col("t"))).alias("k", "key")).groupBy("key").agg(F.min(F.struct("o", "k")).alias("at"))
-    return [r["key"] for r in keys.orderBy("at").collect()]
+    return list(dict.fromkeys([*known, *(r["key"] for r in keys.orderBy("at").collect())]))
 
 
 def _values(df: DataFrame, text: str, keys: list[str]) -> DataFrame:
